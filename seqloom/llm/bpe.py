@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 
 from .common import table
 
-CHUNK_CHARS = 8_000_000
-CACHE_WORDS = 400_000
+CHUNK_CHARS = 2_000_000
+CACHE_WORDS = 150_000
 _SHIFT = 20
 
 

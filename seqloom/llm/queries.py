@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+from .ann import op2_nearest_neighbours
 from .bpe import op1_byte_bpe
+from .chat import OP3_SQL, op3_chat_format
+from .mixing import op10_mix_sources
+from .quality import op5_quality_rules
+from .secretscan import op6_secret_scan
 from .simhash import op7_simhash_near_dedup
+from .toxicity import op8_toxicity
+from .urlfilter import OP9_SQL, op9_url_filter
+from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
+    "op3_chat_format": op3_chat_format,
+    "op4_warc": op4_warc,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_secret_scan": op6_secret_scan,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_url_filter": op9_url_filter,
+    "op10_mix_sources": op10_mix_sources,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others are models, digests SQL lacks, or approximate; tests hold them against brute force.
+ORACLE_SQL = {
+    "op3_chat_format": OP3_SQL,
+    "op4_warc": OP4_SQL,
+    "op9_url_filter": OP9_SQL,
+}
