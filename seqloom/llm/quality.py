@@ -97,7 +97,8 @@ _MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_word
 def judge(df: DataFrame, column: str = "text", most_lost: float = MOST_LOST, text_out: str | None = None) -> DataFrame:
     """Add the base measures, base_failed, lost_share and kept; ``text_out`` also names the cleaned text."""
     fields = [*(T.StructField(c, T.LongType()) for c in _MEASURES), T.StructField("base_failed", T.BooleanType()), T.StructField("lost_share", T.DoubleType()), T.StructField("kept", T.BooleanType())]
-    fields += [T.StructField(text_out, T.StringType())] * bool(text_out)
+    if text_out:
+        fields.append(T.StructField(text_out, T.StringType()))
     df = df.drop(*(f.name for f in fields if f.name != column))
 
     def run(batches):
