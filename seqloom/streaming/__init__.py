@@ -1,0 +1 @@
+"""Deliberately empty: an index is immutable and suffix sorting isn't incremental, so new data means a rebuild."""
