@@ -33,10 +33,10 @@ from .common import cut, table, text_of
 
 MOST_LABELLED = 10_000
 MOST_FEATURES = 400
-#: A word becomes a feature if its log odds for a domain lie this many standard errors from zero.
-LEAST_Z = 4.0
-#: And its log odds are at least this.
-LEAST_ODDS = 1.0
+#: A word becomes a feature if it speaks for a domain with this log likelihood ratio (G)
+LEAST_G = 30.0
+#: and at least these log odds.
+LEAST_ODDS = 1.5
 CUT_EVERY = 8
 MOST_STEPS = 48
 TOLERANCE = 1e-4
@@ -59,6 +59,13 @@ def _words(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.split(F.lower(text_of()), r"[\s.,;:?\"()]+").alias("words"))
 
 
+def signature(text: Column) -> Column:
+    """Smallest hash of the text's three-word shingles, which near copies mostly share."""
+    words = F.split(F.coalesce(text, F.lit("")), r"\s+")
+    shingle = lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    return F.transform(F.array(words), lambda w: F.array_min(shingle(w)))[0]
+
+
 def label_domains(labels: DataFrame) -> DataFrame:
     """(doc_id, domain) of the label table: low quality first, then toxic, else clean."""
     domain = F.when(F.col("quality") == 0, "low").when(F.col("toxic") == 1, "toxic").when(F.col("quality").isNotNull() & F.col("toxic").isNotNull(), "clean")
@@ -84,7 +91,8 @@ def hits(docs: DataFrame, features: dict[str, int], n_domains: int, *keep: str)
 def fit(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[dict[str, int], dict[tuple[int, ...], list[float]], list[float]]:
     """Feature words with the domain they speak for, posteriors by hit pattern, and the prior."""
     chosen = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
-    rows = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", "text"))  # at most MOST_LABELLED ids
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", "text")  # at most MOST_LABELLED ids
+    rows = cut(rows.withColumn("signature", signature(F.col("text"))).dropDuplicates(["signature", "domain"]).select("domain", "text"))  # copies are no new evidence
     stems = F.array_distinct(F.transform("words", lambda w: F.substring(w, 1, STEM)))
     found = _words(rows, "domain").select("domain", F.explode(F.array_append(stems, F.lit(None).cast("string"))).alias("stem"))  # null counts rows
     counts = cut(found.groupBy("stem").agg(*(F.count_if(F.col("domain") == d).alias(f"c{i}") for i, d in enumerate(domains))))
@@ -95,14 +103,15 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[dict[
     c = [F.col(f"c{i}") for i in range(len(domains))]
     here = reduce(lambda a, b: a + b, c)
 
-    def z(i: int) -> Column:
-        a, b = c[i] + F.lit(0.5), here - c[i] + F.lit(0.5)
-        no_a, no_b = F.lit(n[i] + 1) - a, F.lit(total - n[i] + 1) - b
-        odds = F.log(a / no_a) - F.log(b / no_b)
-        return F.when(odds >= LEAST_ODDS, odds / F.sqrt(1 / a + 1 / no_a + 1 / b + 1 / no_b)).otherwise(0.0)
+    def g(i: int) -> Column:
+        share = here / F.lit(max(total, 1.0))
+        part = lambda seen, of: F.when(seen > 0, seen * F.log(seen / (share * of))).otherwise(0.0) + F.when(seen < of, (of - seen) * F.log((of - seen) / ((1 - share) * of))).otherwise(0.0)
+        own, rest = F.lit(n[i]), F.lit(total - n[i])
+        odds = F.log((c[i] + 0.5) / (own - c[i] + 0.5)) - F.log((here - c[i] + 0.5) / (rest - here + c[i] + 0.5))
+        return F.when(odds >= LEAST_ODDS, 2 * (part(c[i], own) + part(here - c[i], rest))).otherwise(0.0)
 
-    speaks = F.array_max(F.array(*(F.struct(z(i).alias("z"), F.lit(i).alias("domain")) for i in range(len(domains)))))
-    top = counts.where("stem is not null and stem <> ''").select("stem", speaks.alias("x")).where(F.col("x.z") >= LEAST_Z).orderBy(F.desc("x.z"), "stem").limit(MOST_FEATURES).collect()
+    speaks = F.array_max(F.array(*(F.struct(g(i).alias("g"), F.lit(i).alias("domain")) for i in range(len(domains)))))
+    top = counts.where("stem is not null and stem <> ''").select("stem", speaks.alias("x")).where(F.col("x.g") >= LEAST_G).orderBy(F.desc("x.g"), "stem").limit(MOST_FEATURES).collect()
     features = {r["stem"]: r["x"]["domain"] for r in top}
     keys = [f"h{i}" for i in range(len(domains))]
     cells = hits(rows, features, len(domains), "domain").groupBy(*keys).agg(*(F.count_if(F.col("domain") == d).alias(f"c{i}") for i, d in enumerate(domains))).collect()  # (MOST_HITS + 1) ** domains at most

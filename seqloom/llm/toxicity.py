@@ -32,7 +32,8 @@ from .common import cut, table
 
 MOST_LABELLED = 8_000
 MOST_ENTRIES = 600
-LEAST_Z = 4.0
+#: Log likelihood ratio (G) that an entry must reach: far beyond what chance gives among millions of candidates.
+LEAST_G = 30.0
 LEAST_WEIGHT = 1.5
 #: Lengths of the word beginnings that may enter the lexicon.
 BEGINNINGS = (4, 5, 6, 7)
@@ -134,11 +135,27 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string")) % 5 == 0
 
 
+def _signed(rows: DataFrame) -> DataFrame:
+    """Rows (text, toxic) with the smallest hash of their three-word shingles, which near copies mostly share."""
+    import xxhash
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for text in b.column(0).to_pylist():
+                words = folded_words(text)
+                out.append(min(xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))) >> 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=["text", "toxic", "signature"])
+
+    return rows.mapInArrow(run, f"text string, toxic {rows.schema['toxic'].dataType.simpleString()}, signature long")
+
+
 def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic)."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
-    rows = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"))  # at most MOST_LABELLED ids
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most MOST_LABELLED ids
+    rows = cut(_signed(rows).dropDuplicates(["signature", "toxic"]).select("text", "toxic"))  # copies would count as evidence over and over
 
     def count(batches):
         for b in batches:
@@ -154,12 +171,17 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCE
     sizes = counts.where("entry = ''").first()
     if sizes is None:
         return Model(exceptions=exceptions)
-    a, b = F.col("toxic") + F.lit(0.5), F.col("clean") + F.lit(0.5)
-    no_a, no_b = F.lit(sizes["toxic"] + 1.0) - a, F.lit(sizes["clean"] + 1.0) - b
-    odds = F.log(a / no_a) - F.log(b / no_b)
-    ranked = counts.where("entry <> ''").select("entry", odds.alias("weight"), (odds / F.sqrt(1 / a + 1 / no_a + 1 / b + 1 / no_b)).alias("z"))
-    top = ranked.where((F.col("z") >= LEAST_Z) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.desc("z"), "entry").limit(MOST_ENTRIES).collect()
-    model = Model({r["entry"]: r["weight"] for r in top}, (), exceptions)
+    t, c, n_t, n_c = F.col("toxic"), F.col("clean"), float(sizes["toxic"]), float(sizes["clean"])
+    share = (t + c) / F.lit(max(n_t + n_c, 1.0))
+    part = lambda seen, of: F.when(seen > 0, seen * F.log(seen / (share * of))).otherwise(0.0) + F.when(seen < of, (of - seen) * F.log((of - seen) / ((1 - share) * of))).otherwise(0.0)
+    odds = F.log((t + 0.5) / (F.lit(n_t) - t + 0.5)) - F.log((c + 0.5) / (F.lit(n_c) - c + 0.5))
+    ranked = counts.where("entry <> ''").select("entry", odds.alias("weight"), (2 * (part(t, F.lit(n_t)) + part(c, F.lit(n_c)))).alias("g"))
+    top = ranked.where((F.col("g") >= LEAST_G) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.desc("g"), F.length("entry"), "entry").limit(10 * MOST_ENTRIES).collect()
+    entries: dict[str, float] = {}
+    for r in top:  # what a chosen beginning already covers adds nothing
+        if len(entries) < MOST_ENTRIES and not any(r["entry"][:k] in entries for k in range(2, len(r["entry"]))):
+            entries[r["entry"]] = r["weight"]
+    model = Model(entries, (), exceptions)
     seen = weighed(rows, model, keep="toxic").toPandas()  # at most a row for each labelled one
     curve = _curve(seen["weight"].to_numpy(), seen["n_words"].to_numpy(), seen["toxic"].to_numpy(dtype=float))
     return Model(model.entries, curve, exceptions)
