@@ -134,7 +134,7 @@ def _nosentinel(sp, d):
     return _once("bwt ev", sp, d, lambda: (lambda x: (cut(x[0]), x[1]))(bwt.plain(_suffixes("ev", sp, d))))
 
 
-_add("bwt_nosentinel_ev", lambda sp, d: _nosentinel(sp, d)[0], _sql("ev", _SA, "p AS (SELECT r AS w FROM sa WHERE k = 0)", "SELECT CASE WHEN r < w THEN r + 1 ELSE r END AS i, t.id AS sym FROM sa, p JOIN t ON t.k = sa.k - 1 WHERE sa.k > 0 UNION ALL SELECT 0, id FROM t WHERE k = (SELECT max(k) FROM t)".replace("FROM sa, p JOIN t ON t.k = sa.k - 1", "FROM sa JOIN t ON t.k = sa.k - 1 CROSS JOIN p")))
+_add("bwt_nosentinel_ev", lambda sp, d: _nosentinel(sp, d)[0], _sql("ev", _SA, "p AS (SELECT r AS w FROM sa WHERE k = 0)", "SELECT CASE WHEN r < w THEN r + 1 ELSE r END AS i, t.id AS sym FROM sa JOIN t ON t.k = sa.k - 1 CROSS JOIN p WHERE sa.k > 0 UNION ALL SELECT 0, id FROM t WHERE k = (SELECT max(k) FROM t)"))
 _add("primary_index_ev", lambda sp, d: sp.range(1).select(F.lit(_nosentinel(sp, d)[1]).cast("long").alias("primary_index")), _sql("ev", _SA, "SELECT r + 1 AS primary_index FROM sa WHERE k = 0"))
 _add("bwt_aux_ev", lambda sp, d: bwt.auxiliary(_suffixes("ev", sp, d), 16), _sql("ev", _SA, "SELECT k // 16 AS t, r + 1 AS isa1 FROM sa WHERE k % 16 = 0"))
 _add("unbwt_ev", lambda sp, d: bwt.inverse_primary(_nosentinel(sp, d)[0], _sequence("ev", sp, d).n, _nosentinel(sp, d)[1]), _sql("ev", "SELECT k, id FROM t"))
@@ -149,7 +149,7 @@ def _placed(name, sp, d):
     s = _sequence(name, sp, d)
     first, _ = numbered(s.seq.groupBy("grp").agg(F.min("k").alias("first"), F.count("*").alias("len")), ["grp"], "g")
     offsets = first.select("grp", (F.col("first") + F.col("g")).alias("begin"), "len")
-    at = offsets.select("grp", "begin", F.explode(F.sequence(F.lit(0), "len")).cast("long").alias("pos")).select("grp", "pos", (F.col("begin") + F.col("pos")).alias("k"))
+    at = offsets.select("grp", "begin", F.explode(F.sequence(F.lit(0).cast("long"), "len")).alias("pos")).select("grp", "pos", (F.col("begin") + F.col("pos")).alias("k"))
     return x.sa.join(at, "k").select("r", "grp", "pos")
 
 

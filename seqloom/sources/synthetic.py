@@ -32,7 +32,7 @@ def generate(spark: SparkSession, sigma: int, base_len: int, copies: int, mutati
     """
     values = base_sequence(sigma, base_len, seed).tolist()
     base = spark.createDataFrame(list(enumerate(values)), "off long, base long")
-    rows = base.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).cast("long")) if copies else base.limit(0).withColumn("copy", F.lit(0).cast("long"))
+    rows = base.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long")))) if copies else base.limit(0).withColumn("copy", F.lit(0).cast("long"))
     draw = F.pmod(F.xxhash64("copy", "off", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     other = F.pmod(F.xxhash64("copy", "off", F.lit(seed + 1)), F.lit(sigma))
     return rows.select((F.col("copy") * base_len + F.col("off")).alias("pos"), F.when(draw < mutation, other).otherwise(F.col("base")).alias("val"))
