@@ -4,12 +4,17 @@ The first ranks come from ``START``-grams in one pass. In a round, only suffixes
 their rank look at the rank ``h`` further on; the pairs are counted, and the counts inside a rank give
 the new ranks, so no global window is needed. Every round's ranks are kept in the shared folder: LCPs
 go down through them.
+
+A sequence whose counted length is at most ``LOCAL_SYMBOLS`` is sorted by the same doubling inside one
+task, on arrays: below that size the rounds' shuffles would cost far more than the sorting.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +25,8 @@ from ..plans.sequence import Sequence, separated
 
 #: Symbols that the first ranks compare.
 START = 8
+#: About 40 bytes a symbol, and 4 more for every round, in one task.
+LOCAL_SYMBOLS = 6_000_000
 
 
 @dataclass
@@ -30,6 +37,69 @@ class Suffixes:
     seq: DataFrame
     n: int
     levels: list[tuple[int, DataFrame]] = field(default_factory=list)
+    lcps: DataFrame | None = None
+
+
+def sort_suffixes(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array and LCPs of non-negative numbers, in memory."""
+    n = len(t)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    dense = np.unique(t, return_inverse=True)[1] + 1  # 0 stands past the end
+    width = max(1, min(62 // int(dense.max()).bit_length(), n))
+    key = np.zeros(n, dtype=np.int64)
+    for j in range(width):  # as many symbols as a word holds
+        key = key * (int(dense.max()) + 1)
+        key[: n - j] += dense[j:]
+    rank, h = np.empty(n, dtype=np.int32), width
+    order = np.argsort(key)
+    run = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    rank[order] = np.maximum.accumulate(np.where(run, np.arange(n), 0))
+    levels = [(h, rank.copy())]
+    size = np.diff(np.append(np.flatnonzero(run), n))
+    todo = order[np.repeat(size > 1, size)]
+    while todo.size:
+        then = np.where(todo + h < n, rank[np.minimum(todo + h, n - 1)] + 1, 0).astype(np.int64)
+        pair = rank[todo].astype(np.int64) * (n + 1) + then
+        by = np.argsort(pair)
+        todo, pair = todo[by], pair[by]
+        old, at = rank[todo], np.arange(len(todo))
+        group = np.maximum.accumulate(np.where(np.concatenate(([True], old[1:] != old[:-1])), at, 0))
+        run = np.concatenate(([True], pair[1:] != pair[:-1]))
+        rank[todo] = old + (np.maximum.accumulate(np.where(run, at, 0)) - group)
+        size = np.diff(np.append(np.flatnonzero(run), len(todo)))
+        todo, h = todo[np.repeat(size > 1, size)], 2 * h
+        levels.append((h, rank.copy()))
+    sa = np.empty(n, dtype=np.int64)
+    sa[rank] = np.arange(n)
+    p, q, common = sa[1:], sa[:-1], np.zeros(n - 1, dtype=np.int64)
+
+    def grow(values, step):
+        a, b = p + common, q + common
+        inside = (a < n) & (b < n)
+        same = inside & (values[np.minimum(a, n - 1)] == values[np.minimum(b, n - 1)])
+        common[same] += step
+        return same
+
+    while levels:
+        grow(levels[-1][1], levels[-1][0])
+        levels.pop()
+    for _ in range(width):
+        if not grow(dense, 1).any():
+            break
+    return sa, np.concatenate(([0], common))
+
+
+def _local(rows: DataFrame, n: int) -> DataFrame:
+    def run(batches):
+        t = np.zeros(n, dtype=np.int64)
+        for b in batches:
+            t[b.column(0).to_numpy()] = b.column(1).to_numpy()
+        sa, common = sort_suffixes(t)
+        for a in range(0, n, 500_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, min(n, a + 500_000))), pa.array(sa[a : a + 500_000]), pa.array(common[a : a + 500_000])], names=["r", "k", "lcp"])
+
+    return cut(rows.select("k", "id").coalesce(1).mapInArrow(run, "r long, k long, lcp long"))
 
 
 def suffix_array(seq: DataFrame, n: int, column: str = "id") -> Suffixes:
@@ -37,6 +107,9 @@ def suffix_array(seq: DataFrame, n: int, column: str = "id") -> Suffixes:
     rows = cut(seq.select("k", F.col(column).cast("long").alias("id")))
     if n == 0:
         return Suffixes(rows.select(F.col("k").alias("r"), "k"), rows, 0)
+    if n <= LOCAL_SYMBOLS:
+        sorted_ = _local(rows, n)
+        return Suffixes(sorted_.select("r", "k"), rows, n, lcps=sorted_)
     names = [f"x{j}" for j in range(START)]
     grams = following(rows, START).select("k", *(F.coalesce(x, F.lit(-1)).alias(x) for x in names))
     counts, _ = prefix_sum(grams.groupBy(*names).agg(F.count("*").alias("cnt")), names, "cnt", "r")
@@ -65,6 +138,8 @@ def lcp(x: Suffixes) -> DataFrame:
 
     Distinct separators never match, so in a generalized array no prefix crosses one.
     """
+    if x.lcps is not None:
+        return x.lcps
     above = x.sa.select((F.col("r") + 1).alias("r"), F.col("k").alias("q"))
     state = x.sa.join(above, "r", "left").select("r", "k", "q", F.lit(0).cast("long").alias("l"))
     for i, (h, ranks) in enumerate(reversed(x.levels)):

@@ -37,6 +37,22 @@ CASES = {
 }
 
 
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.integers(0, 3), max_size=60))
+def test_array_sorting(t):
+    sa, common = suffix.sort_suffixes(np.array(t, dtype=np.int64))
+    assert sa.tolist() == naive.suffix_array(t) and common.tolist() == naive.lcp(t)
+
+
+@pytest.mark.parametrize("raw", [CASES[k] for k in ("one run", "fibonacci", "random")])
+def test_distributed_sorting(spark, monkeypatch, raw):
+    monkeypatch.setattr(suffix, "LOCAL_SYMBOLS", 0)
+    s = sequence(spark, raw)
+    x = suffix.suffix_array(s.seq, s.n)
+    assert x.levels and [r["k"] for r in x.sa.orderBy("r").collect()] == naive.suffix_array(naive.densify(raw))
+    assert [r["lcp"] for r in suffix.lcp(x).orderBy("r").collect()] == naive.lcp(naive.densify(raw))
+
+
 @pytest.mark.parametrize("raw", CASES.values(), ids=CASES.keys())
 def test_indexes_agree_with_brute_force(spark, raw):
     s = sequence(spark, raw)
