@@ -47,13 +47,12 @@ class Plain:
 class _Ranks:
     """rank_c(i) over sorted composite keys c * n + start and F positions."""
 
-    def __init__(self, rows: list, n: int):
-        table = np.array([(r["c"], r["start"], r["fp"]) for r in rows], dtype=np.int64).reshape(-1, 3)
-        if table.size and int(table[:, 0].max() + 1) * (n + 1) >= 1 << 63:
+    def __init__(self, c: np.ndarray, start: np.ndarray, fp: np.ndarray, n: int):
+        if len(c) and int(c.max() + 1) * (n + 1) >= 1 << 63:
             raise ValueError("symbols times length must stay below 2**63")
-        table = table[np.lexsort((table[:, 1], table[:, 0]))]
-        self.n, self.keys, self.c, self.start = n, table[:, 0] * n + table[:, 1], table[:, 0], table[:, 1]
-        self.fp = np.concatenate((table[:, 2], [n]))
+        order = np.argsort(c * n + start)
+        self.n, self.keys, self.start = n, (c * n + start)[order], start[order]
+        self.fp = np.concatenate((fp[order], [n]))
 
     def __call__(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         first = np.searchsorted(self.keys, c * self.n)
@@ -75,17 +74,23 @@ def _kernel(patterns: DataFrame, answer) -> DataFrame:
             sizes = np.array([len(x) for x in lists], dtype=np.int64)
             for m in np.unique(sizes).tolist():
                 own = np.flatnonzero(sizes == m)
-                counts[own] = answer(np.array([lists[i] for i in own], dtype=np.int64).reshape(len(own), m))
+                counts[own] = answer(np.array([lists[i] for i in own.tolist()], dtype=np.int64).reshape(len(own), m))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts)], names=["pid", "n_occ"])
 
     kind = patterns.schema["pid"].dataType.simpleString()
     return patterns.select("pid", "p").mapInArrow(run, f"pid {kind}, n_occ long")
 
 
-def _lookup(rows: list, key: str, value: str, size: int) -> np.ndarray:
-    out = np.zeros(size, dtype=np.int64)
-    for r in rows:
-        out[r[key]] = r[value]
+def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
+    """Columns of a table that may be broadcast, as arrays."""
+    table = df.select(*names).toArrow()
+    return [table.column(n).to_numpy().astype(np.int64) for n in names]
+
+
+def _base(df: DataFrame) -> np.ndarray:
+    sym, base = _columns(df, "sym", "base")
+    out = np.zeros(len(sym) + 1, dtype=np.int64)
+    out[sym] = base
     return out
 
 
@@ -99,21 +104,20 @@ def count(index: Hybrid | Plain, patterns: DataFrame, broadcast: bool | None = N
     The empty pattern counts n in the hybrid index and n + 1, with the terminator, in the plain one.
     """
     if isinstance(index, Hybrid):
-        tables = [index.succ, index.bwt_runs, index.psi_runs]
+        tables = [index.succ, index.base, index.bwt_runs, index.psi_runs]
         kernel, joined = _hybrid_kernel, _hybrid_joined
     else:
-        tables = [index.bwt_runs]
+        tables = [index.base, index.bwt_runs]
         kernel, joined = _plain_kernel, _plain_joined
     return (kernel if (_fits(*tables) if broadcast is None else broadcast) else joined)(index, patterns)
 
 
 def _hybrid_kernel(x: Hybrid, patterns: DataFrame) -> DataFrame:
     sc = patterns.sparkSession.sparkContext
-    base = x.base.collect()
-    succ = x.succ.select("a", "b", "rk").collect()
-    keys = np.array([r["a"] * (x.sigma + 1) + r["b"] for r in succ], dtype=np.int64)
+    a, b, rk = _columns(x.succ, "a", "b", "rk")
+    keys = a * (x.sigma + 1) + b
     order = np.argsort(keys)
-    shared = sc.broadcast((_lookup(base, "sym", "base", len(base) + 1), keys[order], np.array([r["rk"] for r in succ], dtype=np.int64)[order], _Ranks(x.bwt_runs.select("c", "start", "fp").collect(), x.n), _Ranks(x.psi_runs.select("c", "start", "fp").collect(), x.n)))
+    shared = sc.broadcast((_base(x.base), keys[order], rk[order], _Ranks(*_columns(x.bwt_runs, "c", "start", "fp"), x.n), _Ranks(*_columns(x.psi_runs, "c", "start", "fp"), x.n)))
     n, sigma = x.n, x.sigma
 
     def answer(p):
@@ -141,8 +145,7 @@ def _hybrid_kernel(x: Hybrid, patterns: DataFrame) -> DataFrame:
 
 
 def _plain_kernel(x: Plain, patterns: DataFrame) -> DataFrame:
-    base = x.base.collect()
-    shared = patterns.sparkSession.sparkContext.broadcast((_lookup(base, "sym", "base", len(base) + 1), _Ranks(x.bwt_runs.select("c", "start", "fp").collect(), x.n)))
+    shared = patterns.sparkSession.sparkContext.broadcast((_base(x.base), _Ranks(*_columns(x.bwt_runs, "c", "start", "fp"), x.n)))
     n, sigma = x.n, x.sigma
 
     def answer(p):

@@ -94,7 +94,7 @@ def read_patterns(spark: SparkSession, path: str, max_value: int = (1 << 64) - 1
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("f"), F.monotonically_increasing_id().alias("at"))
     tokens = F.filter(F.split("value", r"\s+"), lambda t: t != "")
-    good = lambda t: t.rlike(r"^\+?\d+$") & (F.try_to_number(t, F.lit("9" * 38)) <= F.lit(max_value).cast("decimal(38,0)"))
+    good = lambda t: t.rlike(r"^\+?\d+$") & (F.try_to_number(t, F.lit("9" * 38)) <= F.lit(str(max_value)).cast("decimal(38,0)"))
     flags = F.transform(tokens, lambda t: F.coalesce(good(t), F.lit(False)))
     keep = F.coalesce(F.nullif(F.array_position(flags, False), F.lit(0)) - 1, F.size(tokens)).cast("int")
     kept = lines.select("at", F.slice(tokens, 1, keep).alias("t"))

@@ -102,8 +102,8 @@ def test_order_primitives(spark):
 def test_rank_kernel(t):
     n, order = len(t), sorted(range(len(t)), key=lambda i: (t[i], i))
     fp = {k: j for j, k in enumerate(order)}
-    rows = [{"c": t[i], "start": i, "fp": fp[i]} for i in range(n) if i == 0 or t[i] != t[i - 1]]
-    ranks = _Ranks(rows, n)
+    starts = [i for i in range(n) if i == 0 or t[i] != t[i - 1]]
+    ranks = _Ranks(*(np.array(x, dtype=np.int64) for x in ([t[i] for i in starts], starts, [fp[i] for i in starts])), n)
     c, i = np.array([(c, i) for c in range(0, 7) for i in range(n + 1)]).T
     assert ranks(c, i).tolist() == [t[:b].count(a) for a, b in zip(c.tolist(), i.tolist())]
 
