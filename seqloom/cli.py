@@ -52,7 +52,7 @@ def bench(a) -> int:
             continue
         patterns = ngram.sample_patterns(s, m, a.queries).cache()
         patterns.count()
-        for name, x in (("hybrid", made.index), ("plain", plain[0])):
+        for name, x in (("order1", made.index), ("plain", plain[0])):
             began = time.time()
             search.count(x, patterns).agg({"n_occ": "sum"}).collect()
             print(f"m={m} {name}: {(time.time() - began) / a.queries * 1e6:.2f} microseconds a query")

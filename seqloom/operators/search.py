@@ -23,7 +23,7 @@ BROADCAST_RUNS = 4_000_000
 
 
 @dataclass
-class Hybrid:
+class Order1:
     """Order-1 index: succ(a, b, rk), base(sym, base), runs of BWT(S) and of the symbols at suffixes."""
 
     succ: DataFrame
@@ -98,21 +98,21 @@ def _fits(*tables: DataFrame) -> bool:
     return sum(t.limit(BROADCAST_RUNS + 1).count() for t in tables) <= BROADCAST_RUNS
 
 
-def count(index: Hybrid | Plain, patterns: DataFrame, broadcast: bool | None = None) -> DataFrame:
+def count(index: Order1 | Plain, patterns: DataFrame, broadcast: bool | None = None) -> DataFrame:
     """(pid, n_occ) for patterns(pid, p array of ids); id 0 never matches.
 
-    The empty pattern counts n in the hybrid index and n + 1, with the terminator, in the plain one.
+    The empty pattern counts n in the order-1 index and n + 1, with the terminator, in the plain one.
     """
-    if isinstance(index, Hybrid):
+    if isinstance(index, Order1):
         tables = [index.succ, index.base, index.bwt_runs, index.psi_runs]
-        kernel, joined = _hybrid_kernel, _hybrid_joined
+        kernel, joined = _order1_kernel, _order1_joined
     else:
         tables = [index.base, index.bwt_runs]
         kernel, joined = _plain_kernel, _plain_joined
     return (kernel if (_fits(*tables) if broadcast is None else broadcast) else joined)(index, patterns)
 
 
-def _hybrid_kernel(x: Hybrid, patterns: DataFrame) -> DataFrame:
+def _order1_kernel(x: Order1, patterns: DataFrame) -> DataFrame:
     sc = patterns.sparkSession.sparkContext
     a, b, rk = _columns(x.succ, "a", "b", "rk")
     keys = a * (x.sigma + 1) + b
@@ -172,7 +172,7 @@ def _narrow(state: DataFrame, base: DataFrame, run_table: DataFrame) -> DataFram
     return cut(moved.where("low < high"))
 
 
-def _hybrid_joined(x: Hybrid, patterns: DataFrame) -> DataFrame:
+def _order1_joined(x: Order1, patterns: DataFrame) -> DataFrame:
     state = cut(patterns.where("size(p) > 0 and forall(p, v -> v > 0)").select("pid", "p", F.size("p").alias("j"), F.lit(0).cast("long").alias("low"), F.lit(x.n).cast("long").alias("high")))
     longest = state.agg(F.max("j")).first()[0] or 0
     done = None

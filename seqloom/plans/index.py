@@ -14,7 +14,7 @@ from ..operators.suffix import Suffixes, suffix_array
 from .lineage import cut
 from .sequence import Sequence, pattern_ids
 
-KIND = "hybrid"
+KIND = "order1"
 
 
 @dataclass
@@ -27,7 +27,7 @@ class Built:
     suffixes: Suffixes
     bwt: DataFrame
     psi: DataFrame
-    index: search.Hybrid
+    index: search.Order1
     kinds: int
 
 
@@ -39,7 +39,7 @@ def build(s: Sequence) -> Built:
     x = suffix_array(encoded, s.n, "s")
     l, p = cut(bwt.circular(x)), cut(bwt.symbols_at(x, s.seq))
     base = cut(stats.cumulative(stats.histogram(encoded, "s"), kinds))
-    index = search.Hybrid(succ, base, runs.runs(l, "l", s.n), runs.runs(p, "p", s.n), s.n, s.sigma)
+    index = search.Order1(succ, base, runs.runs(l, "l", s.n), runs.runs(p, "p", s.n), s.n, s.sigma)
     return Built(s, succ, encoded, x, l, p, index, kinds)
 
 
@@ -61,13 +61,13 @@ def save(b: Built, folder: str) -> None:
     b.succ.sparkSession.range(1).select(F.lit(meta).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/meta")
 
 
-def load(spark: SparkSession, folder: str) -> tuple[search.Hybrid, DataFrame]:
+def load(spark: SparkSession, folder: str) -> tuple[search.Order1, DataFrame]:
     """The index of a folder and its dictionary."""
     meta = json.loads(spark.read.text(f"{folder}/meta").first()[0])
     if meta.get("kind") != KIND:
         raise ValueError("bad index file")
     t = {n: spark.read.parquet(f"{folder}/{n}") for n in ("succ", "base", "bwt_runs", "psi_runs", "dict")}
-    return search.Hybrid(t["succ"], t["base"], t["bwt_runs"], t["psi_runs"], meta["n"], meta["sigma"]), t["dict"]
+    return search.Order1(t["succ"], t["base"], t["bwt_runs"], t["psi_runs"], meta["n"], meta["sigma"]), t["dict"]
 
 
 def count_values(index, words: DataFrame, patterns: DataFrame, broadcast: bool | None = None) -> DataFrame:
@@ -79,7 +79,7 @@ def build_report(b: Built) -> DataFrame:
     """(n, sigma, kE, bwt_runs, psi_runs, bytes): one row; bytes of the default form."""
     i = b.index
     made = i.bwt_runs.agg(F.count("*").alias("bwt_runs")).crossJoin(i.psi_runs.agg(F.count("*").alias("psi_runs"))).first()
-    size = next(r["bytes"] for r in size_rows(b) if r["form"] == "hybrid rl-huffman")
+    size = next(r["bytes"] for r in size_rows(b) if r["form"] == "order-1 rl-huffman")
     return b.succ.sparkSession.range(1).select(*(F.lit(int(v)).cast("long").alias(k) for k, v in (("n", i.n), ("sigma", i.sigma), ("kE", b.kinds), ("bwt_runs", made[0]), ("psi_runs", made[1]), ("bytes", size))))
 
 
@@ -99,10 +99,10 @@ def size_rows(b: Built, plain: tuple[search.Plain, DataFrame] | None = None) ->
     psi_ef = sizes.ef_rank(n, rp, sig + 1)
     cost, head = sizes.huffman_cost(sizes.frequencies(b.bwt, "l")), sizes.huffman_cost(bwt_by)
     for form, size in (
-        ("hybrid explicit", sizes.run_rank(n, r, b.kinds, bwt_by) + sizes.run_rank(n, rp, sig + 1, psi_by)),
-        ("hybrid elias-fano", sizes.ef_rank(n, r, b.kinds) + psi_ef),
-        ("hybrid huffman", sizes.huffman_tree(cost, b.kinds, d) + psi_ef),
-        ("hybrid rl-huffman", sizes.run_huffman(head, n, r, b.kinds, d) + psi_ef),
+        ("order-1 explicit", sizes.run_rank(n, r, b.kinds, bwt_by) + sizes.run_rank(n, rp, sig + 1, psi_by)),
+        ("order-1 elias-fano", sizes.ef_rank(n, r, b.kinds) + psi_ef),
+        ("order-1 huffman", sizes.huffman_tree(cost, b.kinds, d) + psi_ef),
+        ("order-1 rl-huffman", sizes.run_huffman(head, n, r, b.kinds, d) + psi_ef),
     ):
         out.append({"form": form, "bytes": shared + size, "depth": cost / n if "rl" not in form and n else head / r if r else 0.0})
     if plain is not None:
@@ -127,12 +127,12 @@ def size_report(b: Built, plain=None) -> DataFrame:
 
 
 def disagreements(b: Built, plain: search.Plain, patterns: DataFrame) -> DataFrame:
-    """(pid, brute, hybrid, plain) where the indexes, in either plan, and brute force don't all agree."""
+    """(pid, brute, order1, plain) where the indexes, in either plan, and brute force don't all agree."""
     brute = ngram.brute_force(b.sequence, patterns).withColumnRenamed("n_occ", "brute")
     found = brute
-    for name, index, how in (("hybrid", b.index, True), ("plain", plain, True), ("hybrid_joined", b.index, False), ("plain_joined", plain, False)):
+    for name, index, how in (("order1", b.index, True), ("plain", plain, True), ("order1_joined", b.index, False), ("plain_joined", plain, False)):
         found = found.join(search.count(index, patterns, how).withColumnRenamed("n_occ", name), "pid", "left")
-    return found.where("not (brute <=> hybrid and brute <=> plain and brute <=> hybrid_joined and brute <=> plain_joined)")
+    return found.where("not (brute <=> order1 and brute <=> plain and brute <=> order1_joined and brute <=> plain_joined)")
 
 
 def perturbed(patterns: DataFrame, sigma: int) -> DataFrame:

@@ -170,17 +170,17 @@ for _n, _m in (("ev", 3), ("li", 2)):
 
 def _counted(name: str, m: int, which: str, how: bool | None = None) -> Query:
     def run(sp, d):
-        x = _built(name, sp, d).index if which == "hybrid" else _plain(name, sp, d)[0]
+        x = _built(name, sp, d).index if which == "order1" else _plain(name, sp, d)[0]
         return search.count(x, _grams(name, m, sp, d), how).select(F.col("pid").alias("p"), "n_occ")
 
     return run
 
 
 for _m in (1, 2, 4, 8):
-    _add(f"count_hybrid_ev_m{_m}", _counted("ev", _m, "hybrid"), _sql("ev", _gram_sql(_m)))
-_add("count_hybrid_li_m2", _counted("li", 2, "hybrid"), _sql("li", _gram_sql(2)))
+    _add(f"count_order1_ev_m{_m}", _counted("ev", _m, "order1"), _sql("ev", _gram_sql(_m)))
+_add("count_order1_li_m2", _counted("li", 2, "order1"), _sql("li", _gram_sql(2)))
 _add("count_tdollar_ev_m4", _counted("ev", 4, "plain"), _sql("ev", _gram_sql(4)))
-_add("count_joined_ev_m4", _counted("ev", 4, "hybrid", False), _sql("ev", _gram_sql(4)))
+_add("count_joined_ev_m4", _counted("ev", 4, "order1", False), _sql("ev", _gram_sql(4)))
 _add("count_tdollar_joined_ev_m3", _counted("ev", 3, "plain", False), _sql("ev", _gram_sql(3)))
 
 
@@ -234,8 +234,8 @@ def _sizes_sql(form_expr: str) -> str:
 
 _add(
     "size_report_ev",
-    lambda sp, d: index.size_report(_built("ev", sp, d)).where("form = 'hybrid elias-fano'").select("form", "bytes"),
-    _sizes_sql(f"SELECT 'hybrid elias-fano' AS form, CAST(8 * sig + 8 * (sig + 2) + 8 * nb + 8 * (ke + 1) + {_ef('r', 'ke * n')} + {_ef('r', 'n')} + {_ef('rp', '(sig + 1) * n')} + {_ef('rp', 'n')} AS BIGINT) AS bytes FROM v"),
+    lambda sp, d: index.size_report(_built("ev", sp, d)).where("form = 'order-1 elias-fano'").select("form", "bytes"),
+    _sizes_sql(f"SELECT 'order-1 elias-fano' AS form, CAST(8 * sig + 8 * (sig + 2) + 8 * nb + 8 * (ke + 1) + {_ef('r', 'ke * n')} + {_ef('r', 'n')} + {_ef('rp', '(sig + 1) * n')} + {_ef('rp', 'n')} AS BIGINT) AS bytes FROM v"),
 )
 _add("size_forms_ev", lambda sp, d: index.size_report(_built("ev", sp, d), _plain("ev", sp, d)))
 _add("bench_report_ev", lambda sp, d: index.bench_report(_built("ev", sp, d), _plain("ev", sp, d)))
@@ -243,8 +243,8 @@ _add("build_report_syn", lambda sp, d: index.build_report(_built("syn", sp, d)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pattern, n_occ): every distinct 3-gram of events counted through the hybrid index."""
-    return _counted("ev", 3, "hybrid")(spark, sf_dir).select(F.col("p").alias("pattern"), "n_occ")
+    """(pattern, n_occ): every distinct 3-gram of events counted through the order-1 index."""
+    return _counted("ev", 3, "order1")(spark, sf_dir).select(F.col("p").alias("pattern"), "n_occ")
 
 
-_add("count_hybrid_ev_m3", _counted("ev", 3, "hybrid"), _sql("ev", _gram_sql(3)))
+_add("count_order1_ev_m3", _counted("ev", 3, "order1"), _sql("ev", _gram_sql(3)))

@@ -67,9 +67,9 @@ def test_sizes(made):
     _, b, plain = made
     rows = {r["form"]: r for r in index.size_rows(b, plain)}
     assert sizes.rankings(4, 5, 3) == 152
-    assert [rows[f"hybrid {k}"]["bytes"] for k in ("explicit", "elias-fano", "huffman", "rl-huffman")] == [496, 496, 483, 675]
+    assert [rows[f"order-1 {k}"]["bytes"] for k in ("explicit", "elias-fano", "huffman", "rl-huffman")] == [496, 496, 483, 675]
     assert [rows[f"plain {k}"]["bytes"] for k in ("explicit", "elias-fano", "huffman", "rl-huffman")] == [237, 224, 277, 477]
-    assert [round(rows[k]["depth"], 4) for k in ("hybrid huffman", "hybrid rl-huffman", "plain huffman", "plain rl-huffman")] == [1.3333, 1.6, 2.1538, 2.3333]
+    assert [round(rows[k]["depth"], 4) for k in ("order-1 huffman", "order-1 rl-huffman", "plain huffman", "plain rl-huffman")] == [1.3333, 1.6, 2.1538, 2.3333]
     assert index.build_report(b).first().asDict() == {"n": 12, "sigma": 4, "kE": 3, "bwt_runs": 5, "psi_runs": 9, "bytes": 675}
 
 
