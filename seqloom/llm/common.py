@@ -1,36 +1,20 @@
-"""What the operators of this subpackage share: tables, the shared folder, lineage cuts."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, shared_dir
+
+__all__ = ["cut", "shared_dir", "table", "text_of"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder, through Spark's reader, so that any store Spark knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder all executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``, which Spark reads by itself. Only where that is
-    unset, as in tests on one machine, a temporary folder is used.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seqloom-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute once into the shared folder; a lost executor loses nothing of it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_of(column: str = "text"):
     """A text column with null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))

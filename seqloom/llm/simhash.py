@@ -9,9 +9,9 @@ list, the shared positional bytes of two fingerprints are tallied, pairs below t
 and the others verified by their differing bits.
 
 Equal fingerprints collapse before the index. A posting list reports only a spanning forest of its
-links (at most one edge per fingerprint, never all pairs), and lists longer than ``LONG_LIST`` go to
-keys of five positions, which lose nothing either: a pair shares five. Components are joined
-by rounds of neighbourhood minima on checkpointed edges.
+links (at most one edge per fingerprint, never all pairs), and a task turns its forests into stars.
+Lists longer than ``LONG_LIST`` go to keys of five positions, which lose nothing either: a pair shares
+five. Components are joined by rounds of neighbourhood minima on checkpointed edges.
 
 Edge cases: null or wordless text has fingerprint zero and links like any other; texts shorter than a
 shingle are one shingle; equal rows share a component; an empty table gives an empty result; clashing
@@ -99,11 +99,27 @@ def _list_links(fps: np.ndarray, bits: int, least: int) -> list[tuple[int, int]]
     return links
 
 
+def _stars(pairs: list[tuple[int, int]]) -> np.ndarray:
+    """The links of one task as (node, smallest node it is joined to here)."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root.setdefault(up, up)
+        return x
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return np.array([(x, top(x)) for x in root if root[x] != x], dtype=np.int64).reshape(-1, 2)
+
+
 def _linked(postings: DataFrame, bits: int, least: int) -> DataFrame:
     """(a, b) of posting lists; rows (mask, fp) come dealt and sorted by (mask, fp & mask)."""
 
     def run(batches):
-        left_m, left_f = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        left_m, left_f, found = np.zeros(0, np.uint64), np.zeros(0, np.uint64), []
 
         def links(m, f, last):
             nonlocal left_m, left_f
@@ -113,21 +129,17 @@ def _linked(postings: DataFrame, bits: int, least: int) -> DataFrame:
             if not last and len(bounds) > 1:  # the last list may go on in the next batch
                 left_m, left_f = m[bounds[-2] :], f[bounds[-2] :]
                 bounds = bounds[:-1]
-            out = []
             for at in np.flatnonzero(np.diff(bounds) > 1).tolist():
-                out += _list_links(np.unique(f[bounds[at] : bounds[at + 1]]), bits, least)
-            return out
-
-        def packed(out):
-            pairs = np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                found.extend(_list_links(np.unique(f[bounds[at] : bounds[at + 1]]), bits, least))
 
         for b in batches:
             m = np.concatenate((left_m, b.column(0).to_numpy().view(np.uint64)))
             f = np.concatenate((left_f, b.column(1).to_numpy().view(np.uint64)))
             left_m, left_f = m[:0], f[:0]
-            yield packed(links(m, f, False))
-        yield packed(links(left_m, left_f, True))
+            links(m, f, False)
+        links(left_m, left_f, True)
+        stars = _stars([(_signed(a), _signed(b)) for a, b in found])
+        yield pa.RecordBatch.from_arrays([pa.array(stars[:, 0]), pa.array(stars[:, 1])], names=["a", "b"])
 
     dealt = postings.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
     return dealt.repartition("mask", "key").sortWithinPartitions("mask", "key").select("mask", "fp").mapInArrow(run, "a long, b long")
@@ -173,10 +185,10 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         after = cut(small.where("a <> b").distinct())
-        # a star: no node is both a child and a root, and each child has one root
-        settled = after.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and after.select("a").join(after.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
         edges = after
-        if settled:
+        # stars: no node is both a child and a root, and each child has one root
+        roles = after.select(F.col("a").alias("node"), F.lit(1).alias("child")).unionByName(after.select(F.col("b").alias("node"), F.lit(0).alias("child")))
+        if roles.groupBy("node").agg(F.sum("child").alias("up"), F.count_if(F.col("child") == 0).alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
             break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

@@ -44,7 +44,7 @@ def test_line_rules():
 
 
 def test_verdicts(spark):
-    junk = "\n".join(f"Menu {i} | News | Sport | Weather | More." for i in range(12))
+    junk = "\n".join(f"Menu{i} | News{i} | Sport{i} | Weather{i} | More{i}." for i in range(12))
     texts = [GOOD, junk, GOOD + "\n" + junk[:60], "", None, "short text.", " ".join(["one two three four five six seven eight."] * 10), "word. " * 50_000]
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in enumerate(texts)], "doc_id long, text string, n_words int, kept string")
     rows = quality.judge(df, text_out="clean").orderBy("doc_id").collect()
