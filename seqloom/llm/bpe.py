@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from .common import table
 
+#: Chunks bound memory: four Python workers share an executor when coding and decoding are chained.
 CHUNK_CHARS = 2_000_000
 CACHE_WORDS = 150_000
 _SHIFT = 20
