@@ -1,8 +1,9 @@
 """Mixing to target weights with soft membership, in DataFrame operations only.
 
 A classifier fitted on a table of labelled rows gives every document a posterior over domains: words
-that speak for a domain are counted, and the pattern of counts is looked up among the labelled rows'
-patterns, so posteriors are shares that really occurred. Document rates r >= 0 are then fitted so that the expected tokens of each
+that speak for a domain are counted and set against the text's length, and the pattern of these levels is
+looked up among the labelled rows' patterns, so posteriors are shares that really occurred, drawn towards
+(and for patterns never met taken from) a naive Bayes over the levels. Document rates r >= 0 are then fitted so that the expected tokens of each
 domain, sum_i r_i n_i p_id, meet the domain's target. The fit is projected gradient descent on the
 squared residuals, each relative to the tokens its domain has:
 
@@ -16,7 +17,7 @@ The classifier sees at most ``MOST_LABELLED`` labelled rows (those of smallest h
 most ``MOST_FEATURES`` words; every document is scored on its whole text, and totals and rates run
 over all documents. Nothing is keyed by source or domain in a shuffle, so hot ones cost nothing.
 
-Edge cases: null or empty text has no tokens, its posterior is the prior's; labelled rows with a null
+Edge cases: null or empty text has no tokens, its posterior is that of rows without hits; labelled rows with a null
 or unknown domain are left out; without labelled rows the posterior is even; an empty table gives an
 empty result; a repeated id is scored once for each row; clashing extra columns are not read.
 """
@@ -24,7 +25,7 @@ empty result; a repeated id is scored once for each row; clashing extra columns
 from __future__ import annotations
 
 from functools import reduce
-from math import log
+from math import exp, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +49,11 @@ TARGETS = {"clean": 0.90, "low": 0.06, "toxic": 0.04}
 
 #: Characters of a word that count; related forms then share their features.
 STEM = 5
-#: Hits of a domain that are told apart: none, one, ... this many or more.
-MOST_HITS = 2
-#: Rows' worth of prior in the posterior of a hit pattern.
+#: Levels of a domain's hits: none; one, sparse or dense; more, by half octaves of their share of the words.
+LEVELS = 16
+#: Half octaves below one at which the lowest and the densest level of many hits lie.
+SPARSE, DENSE = 18, 6
+#: Rows' worth of naive Bayes in the posterior of a pattern.
 SHRINK = 2.0
 
 
@@ -72,8 +75,16 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain"))
 
 
+def level(hits: Column, n_tokens: Column) -> Column:
+    """The level of so many hits in so many words, from 0 to LEVELS - 1."""
+    share = hits / F.greatest(n_tokens, F.lit(1))
+    octave = F.floor(2 * F.log2(share)) + SPARSE
+    many = F.greatest(F.lit(0), F.least(octave, F.lit(SPARSE - DENSE))) + 3
+    return F.when(hits == 0, 0).when(hits == 1, F.when(share < 1 / 32, 1).otherwise(2)).otherwise(many).cast("int")
+
+
 def hits(docs: DataFrame, features: dict[str, int], n_domains: int, *keep: str) -> DataFrame:
-    """keep..., n_tokens, h0...: how many words of a row are features of each domain, up to MOST_HITS.
+    """keep..., n_tokens, h0...: the level of a row's words that are features of each domain.
 
     Words meet the broadcast features (MOST_FEATURES at most), so what is left of a document before
     anything is shuffled is a few counts. An empty word carries documents without features.
@@ -85,11 +96,15 @@ def hits(docs: DataFrame, features: dict[str, int], n_domains: int, *keep: str)
     rows = _words(docs.withColumn("row", F.monotonically_increasing_id()), "row", *keep)
     words = rows.select("row", *keep, n.alias("n_tokens"), F.explode(F.array_append("words", F.lit(""))).alias("word"))
     met = words.withColumn("stem", F.substring("word", 1, STEM)).join(F.broadcast(features_), "stem")
-    return met.groupBy("row", *keep, "n_tokens").agg(*(F.least(F.count_if(F.col("speaks") == i), F.lit(MOST_HITS)).alias(f"h{i}") for i in range(n_domains))).drop("row")
+    return met.groupBy("row", *keep, "n_tokens").agg(*(level(F.count_if(F.col("speaks") == i), F.col("n_tokens")).alias(f"h{i}") for i in range(n_domains))).drop("row")
 
 
-def fit(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[dict[str, int], dict[tuple[int, ...], list[float]], list[float]]:
-    """Feature words with the domain they speak for, posteriors by hit pattern, and the prior."""
+def fit(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[dict[str, int], dict[tuple[int, ...], list[float]], list[list[list[float]]]]:
+    """Feature words with the domain they speak for, posteriors by pattern of levels, and the naive Bayes.
+
+    The last holds, for each domain's hits and each domain, the log of the share of its rows at each
+    level; the first of them contains the prior.
+    """
     chosen = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", "text")  # at most MOST_LABELLED ids
     rows = cut(rows.withColumn("signature", signature(F.col("text"))).dropDuplicates(["signature", "domain"]).select("domain", "text"))  # copies are no new evidence
@@ -114,28 +129,38 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[dict[
     top = counts.where("stem is not null and stem <> ''").select("stem", speaks.alias("x")).where(F.col("x.g") >= LEAST_G).orderBy(F.desc("x.g"), "stem").limit(MOST_FEATURES).collect()
     features = {r["stem"]: r["x"]["domain"] for r in top}
     keys = [f"h{i}" for i in range(len(domains))]
-    cells = hits(rows, features, len(domains), "domain").groupBy(*keys).agg(*(F.count_if(F.col("domain") == d).alias(f"c{i}") for i, d in enumerate(domains))).collect()  # (MOST_HITS + 1) ** domains at most
+    cells = hits(rows, features, len(domains), "domain").groupBy(*keys).agg(*(F.count_if(F.col("domain") == d).alias(f"c{i}") for i, d in enumerate(domains))).collect()  # LEVELS ** domains at most
+    at = {tuple(r[k] for k in keys): [float(r[f"c{i}"]) for i in range(len(domains))] for r in cells}
+    bayes = []
+    for i in range(len(domains)):
+        met = [[sum(c[d] for pattern, c in at.items() if pattern[i] == x) for x in range(LEVELS)] for d in range(len(domains))]
+        bayes.append([[log((x + 0.5) / (sum(m) + 0.5 * LEVELS)) + (log(p) if i == 0 else 0.0) for x in m] for m, p in zip(met, prior)])
     seen = {}
-    for r in cells:
-        here_ = [float(r[f"c{i}"]) for i in range(len(domains))]
-        seen[tuple(r[k] for k in keys)] = [(x + SHRINK * p) / (sum(here_) + SHRINK) for x, p in zip(here_, prior)]
-    return features, seen, prior
-
-
-def posteriors(docs: DataFrame, domains: list[str], features: dict[str, int], cells: dict[tuple[int, ...], list[float]], prior: list[float], id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, p_<domain>...): one row for each row of docs; unseen patterns get the prior."""
-    found = hits(docs, features, len(domains), id_col)
-    out = F.array(*map(F.lit, prior))
+    for pattern, c in at.items():
+        drawn = [sum(bayes[i][d][x] for i, x in enumerate(pattern)) for d in range(len(domains))]
+        share = [exp(x - max(drawn)) for x in drawn]
+        seen[pattern] = [(x + SHRINK * p / sum(share)) / (sum(c) + SHRINK) for x, p in zip(c, share)]
+    return features, seen, bayes
+
+
+def posteriors(docs: DataFrame, domains: list[str], features: dict[str, int], cells: dict[tuple[int, ...], list[float]], bayes: list[list[list[float]]], *keep: str) -> DataFrame:
+    """(keep..., n_tokens, p_<domain>...): one row for each row of docs; unseen patterns get the naive Bayes."""
+    keep = keep or ("doc_id",)
+    found = hits(docs, features, len(domains), *keep)
+    drawn = F.array(*(reduce(lambda a, b: a + b, (F.get(F.array(*map(F.lit, bayes[i][d])), F.col(f"h{i}")) for i in range(len(domains)))) for d in range(len(domains))))
+    share = F.transform("drawn", lambda x: F.exp(x - F.array_max("drawn")))
+    out = F.transform("share", lambda x: x / F.aggregate("share", F.lit(0.0), lambda a, b: a + b))
     for pattern, p in cells.items():
         out = F.when(reduce(lambda a, b: a & b, (F.col(f"h{i}") == h for i, h in enumerate(pattern))), F.array(*map(F.lit, p))).otherwise(out)
-    return found.select(id_col, "n_tokens", out.alias("p")).select(id_col, "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)))
+    found = found.withColumn("drawn", drawn).withColumn("share", share)
+    return found.select(*keep, "n_tokens", out.alias("p")).select(*keep, "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)))
 
 
-def rates(soft: DataFrame, targets: dict[str, float], budget: float | None = None) -> DataFrame:
+def rates(soft: DataFrame, targets: dict[str, float], budget: float | None = None, least: Column | None = None) -> DataFrame:
     """Add ``rate``. Targets are weights; ``budget`` is the total of expected tokens.
 
     Without a budget the domain of the largest weight keeps the tokens it has and the others follow.
-    No domain is asked for more than MOST_EPOCHS times what it has.
+    No domain is asked for more than MOST_EPOCHS times what it has. ``least`` bounds a row's rate from below.
     """
     domains = list(targets)
     total = lambda d, r: F.sum(F.col("n_tokens") * F.col(f"p_{d}") * r)
@@ -151,7 +176,7 @@ def rates(soft: DataFrame, targets: dict[str, float], budget: float | None = Non
         if max(abs(x) for x in residual.values()) <= TOLERANCE * max(budget, 1.0):
             break
         pull = reduce(lambda a, b: a + b, (F.col(f"p_{d}") * F.lit(residual[d] / have[d] if have[d] > 0 else 0.0) for d in domains))
-        rate = F.greatest(F.lit(0.0), rate - pull)
+        rate = F.greatest(F.lit(0.0) if least is None else least, rate - pull)
         if step % CUT_EVERY == 0:
             now, rate = cut(now.withColumn("rate", rate)), F.col("rate")
         got = now.agg(*(total(d, rate).alias(d) for d in domains)).first()
@@ -164,11 +189,20 @@ def copies(rate: Column, key: Column, seed: int = 10) -> Column:
     return F.floor(rate + F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))).cast("long")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None) -> DataFrame:
-    """(doc_id, n_tokens, p_<domain>..., rate, copies) for every row of docs (doc_id, text)."""
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep..., n_tokens, p_<domain>..., rate, copies) for every row of docs (doc_id, text, keep...).
+
+    Without a budget, documents more likely than not of the domain of the largest weight stay: their
+    rate is one at least. Null ids are rounded by the first column of ``keep``, if there is one.
+    """
     domains = list(targets)
-    fitted = rates(cut(posteriors(docs, domains, *fit(docs, labelled, domains))), targets, budget)
-    return fitted.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    lead = max(domains, key=lambda d: targets[d])
+    least = F.when(F.col(f"p_{lead}") >= 0.5, 1.0).otherwise(0.0) if budget is None else None
+    fitted = rates(cut(posteriors(docs, domains, *fit(docs, labelled, domains), "doc_id", *keep)), targets, budget, least)
+    times = copies(F.col("rate"), F.col("doc_id"))
+    if keep:
+        times = F.when(F.col("doc_id").isNull(), copies(F.col("rate"), F.col(keep[0]))).otherwise(times)
+    return fitted.withColumn("copies", times)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

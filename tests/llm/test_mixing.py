@@ -88,3 +88,23 @@ def test_copies_are_right_on_average(spark, rate):
 
     got = [r[0] for r in spark.range(4000).select(m.copies(F.lit(rate), F.col("id"))).collect()]
     assert abs(np.mean(got) - rate) < 0.03 and set(got) <= {int(rate), int(rate) + 1}
+
+
+def test_long_clean_documents_with_a_few_feature_words_stay(spark):
+    draw = random.Random(5)
+    plain = [f"plain{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9)]
+    docs, labels = [], []
+    for i in range(400):
+        text = [draw.choice(plain) for _ in range(draw.randrange(30, 90))]
+        if i % 4 == 0:
+            text[3:3] = ["grumblo", "snorkfa"] * 3
+        if i % 40 == 1:  # clean, long, two to four hits by chance
+            text = [draw.choice(plain) for _ in range(2000)]
+            for at in range(2 + i // 40 % 3):
+                text[100 * at] = ["grumblo", "snorkfa"][at % 2]
+        docs.append((i, " ".join(text)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    got = m.mix(spark.createDataFrame(docs, "doc_id long, text string"), m.label_domains(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert all(rows[i]["copies"] >= 1 and rows[i]["p_clean"] > 0.5 for i in range(1, 400, 40))
+    assert all(rows[i]["p_toxic"] > 0.8 for i in range(0, 400, 4))
