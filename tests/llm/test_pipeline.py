@@ -73,3 +73,10 @@ def test_run_and_empty(spark, folder, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert pipe.run(spark, str(tmp_path)).count() == 0
+
+
+def test_null_ids_and_texts_of_one_id_reach_the_mix(spark, folder):
+    text = [" ".join(f"w{k}x{i}" for i in range(40)) + "." for k in range(4)]
+    rows = [(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), *((i, f"plain words of a clean document {i}.") for i in range(0, 60, 2))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(((r["doc_id"], r["text"]) for r in pipe.mix_sources(spark, docs, folder).collect()), key=str) == sorted(rows, key=str)
