@@ -24,6 +24,7 @@ empty result; a repeated id is scored once for each row; clashing extra columns
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 from math import exp, log
 
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, text_of
 
+_LOG = logging.getLogger(__name__)
+
 MOST_LABELLED = 10_000
 MOST_FEATURES = 400
 #: A word becomes a feature if it speaks for a domain with this log likelihood ratio (G)
@@ -160,7 +163,8 @@ def rates(soft: DataFrame, targets: dict[str, float], budget: float | None = Non
     """Add ``rate``. Targets are weights; ``budget`` is the total of expected tokens.
 
     Without a budget the domain of the largest weight keeps the tokens it has and the others follow.
-    No domain is asked for more than MOST_EPOCHS times what it has. ``least`` bounds a row's rate from below.
+    No domain aims at more than MOST_EPOCHS times what it has; what a domain has, was asked for, aimed at
+    and reached is logged, as a warning if the steps or that bound leave a target missed. ``least`` bounds a row's rate from below.
     """
     domains = list(targets)
     total = lambda d, r: F.sum(F.col("n_tokens") * F.col(f"p_{d}") * r)
@@ -181,6 +185,11 @@ def rates(soft: DataFrame, targets: dict[str, float], budget: float | None = Non
             now, rate = cut(now.withColumn("rate", rate)), F.col("rate")
         got = now.agg(*(total(d, rate).alias(d) for d in domains)).first()
         residual = {d: float(got[d] or 0.0) - aim[d] for d in domains}
+    reached = {d: aim[d] + residual[d] for d in domains}
+    asked = {d: budget * targets[d] / weight for d in domains}
+    missed = any(abs(reached[d] - asked[d]) > 10 * TOLERANCE * max(budget, 1.0) for d in domains)
+    said = "; ".join(f"{d}: has {have[d]:.0f}, asked {asked[d]:.0f}, aimed {aim[d]:.0f}, reached {reached[d]:.0f}" for d in domains)
+    (_LOG.warning if missed else _LOG.info)("tokens of the mix: %s", said)
     return now.withColumn("rate", rate)
 
 

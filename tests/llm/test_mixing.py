@@ -108,3 +108,12 @@ def test_long_clean_documents_with_a_few_feature_words_stay(spark):
     rows = {r["doc_id"]: r for r in got.collect()}
     assert all(rows[i]["copies"] >= 1 and rows[i]["p_clean"] > 0.5 for i in range(1, 400, 40))
     assert all(rows[i]["p_toxic"] > 0.8 for i in range(0, 400, 4))
+
+
+def test_missed_targets_are_said(spark, caplog):
+    p, n = np.array([[1.0, 0.0, 0.0]] * 9 + [[0.0, 1.0, 0.0]]), np.full(10, 10)
+    with caplog.at_level("INFO", logger=m.__name__):
+        m.rates(soft(spark, p, n), {"a": 0.5, "b": 0.5, "c": 0.0})
+        m.rates(soft(spark, p, n), {"a": 0.9, "b": 0.1, "c": 0.0})
+    assert [r.levelname for r in caplog.records] == ["WARNING", "INFO"]
+    assert "b: has 10, asked 90, aimed 20, reached 20" in caplog.records[0].getMessage()
