@@ -1,7 +1,8 @@
 """Quality rules, line first.
 
 Every line of a document is judged by itself: a line without any sentence end, a navigation bar,
-decoration, shouting, one word over and over, or legal boilerplate fails and is taken out. A document
+decoration, shouting, one word over and over, or legal boilerplate (a phrase in a short line, or phrases
+all through a long one) fails and is taken out. A document
 is rejected when the removed lines held more than ``most_lost`` of its non-space characters, or when
 it fails the base measures (too few words, too much of it in repeated eight-word windows).
 
@@ -34,7 +35,9 @@ _BOILERPLATE = re.compile(
     r"all rights reserved|\bcopyright\b|\(c\) \d{4}|released under the|licensed under|is licensed|cookie policy|privacy policy|terms of (?:use|service)"
     r"|lorem ipsum|subscribe to our|click here|skip to (?:main )?content|javascript (?:is|must be) (?:enabled|disabled)",
     re.I,
-).search
+)
+#: A line of so many words at most is boilerplate for one phrase; a longer one if it has a phrase for each so many words.
+BOILERPLATE_WORDS = 30
 
 
 def base_measures(data: bytes, n_chars: int) -> tuple[int, int, int, int, int]:
@@ -73,7 +76,7 @@ def line_fault(line: str) -> str:
         return "shouting"
     if n >= 10 and len(set(words)) * 10 < n * 3:
         return "monotony"
-    if _BOILERPLATE(line):
+    if _BOILERPLATE.search(line) and (n <= BOILERPLATE_WORDS or len(_BOILERPLATE.findall(line)) * BOILERPLATE_WORDS >= n):
         return "boilerplate"
     return ""
 

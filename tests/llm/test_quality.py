@@ -54,3 +54,12 @@ def test_verdicts(spark):
     assert quality.judge(df.limit(0)).count() == 0
     over = quality.judge(df, text_out="text").orderBy("doc_id").first()
     assert over["text"] == GOOD
+
+
+def test_a_phrase_in_a_long_line_is_no_boilerplate(spark):
+    article = " ".join(f"River{i} runs past hill{i} to town{i} and field{i}." for i in range(20))
+    said = article + " The author holds the copyright of the maps and links to a privacy policy."
+    assert quality.line_fault(said) == "" and quality.cleaned(said) == (said, 0.0)
+    assert quality.line_fault(" ".join(f"All rights reserved by owner{k}, copyright of holder{k} since year{k}, see terms of use number{k}." for k in range(4))) == "boilerplate"
+    rows = quality.judge(spark.createDataFrame([(1, said)], "doc_id long, text string"), text_out="clean").collect()
+    assert [(r["kept"], r["clean"]) for r in rows] == [(True, said)]
