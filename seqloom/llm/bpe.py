@@ -6,8 +6,14 @@ stands. The merges are then replayed in rank order over all words at once: each
 from the index, joins the two tokens there, and looks up only the two pairs that the join has
 changed. Documents are put together from the token runs of their words.
 
-No shuffle is needed: a slice never looks outside its task. Memory is bounded by ``CHUNK_CHARS`` of
-text and ``CACHE_WORDS`` remembered words, whatever the size of the partition.
+Replaying all places of a rank at once is the rule of single merges as long as no merge opens a pair
+of lower rank. Words where one does are told by two tests (of the pairs that stand after a step, and of
+those that stood for a moment between neighbouring merges of one step) and follow the rule one merge at
+a time, from a heap.
+
+No shuffle is needed: a slice never looks outside its task. A task holds one Arrow batch, the working
+arrays of ``CHUNK_BYTES`` of text (of the longest text, if that is longer: about 40 bytes for each byte of
+its words that are no tokens) and ``CACHE_WORDS`` remembered words, whatever the size of the partition.
 
 Edge cases: null text counts as empty and gives no ids; one very long text is one chunk; repeated
 rows are encoded alike; input columns named like an output column are replaced by it.
@@ -24,15 +30,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import released, sliced, table
 
-#: Chunks bound memory: four Python workers share an executor when coding and decoding are chained.
-CHUNK_CHARS = 2_000_000
+#: Bytes of text that are encoded, and decoded again, at once.
+CHUNK_BYTES = 2_000_000
 CACHE_WORDS = 150_000
 _SHIFT = 20
 
@@ -59,20 +64,27 @@ class Vocabulary:
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of the pairs, -1 where they don't merge."""
-        key = a << _SHIFT | b
+        key = a.astype(np.int64) << _SHIFT | b
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
     def one_by_one(self, word: bytes) -> list[int]:
-        """The rule itself on one word: always the lowest rank, leftmost first."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            found = [(r, i) for i in range(len(parts) - 1) if (r := self.encoder.get(parts[i] + parts[i + 1])) is not None]
-            if not found:
-                break
-            i = min(found)[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.encoder[x] for x in parts]
+        """The rule itself on one word: always the lowest rank, leftmost first; a heap holds the pairs."""
+        parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
+        nxt, prev, get = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1)), self.encoder.get
+        heap = [(r, i) for i in range(len(word) - 1) if (r := get(word[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            if parts[i] is None or (j := nxt[i]) == len(word) or get(whole := parts[i] + parts[j]) != r:
+                continue  # one of the two has changed
+            parts[i], parts[j], nxt[i] = whole, None, nxt[j]
+            if nxt[i] < len(word):
+                prev[nxt[i]] = i
+            for a, b in ((prev[i], i), (i, nxt[i])):
+                if a >= 0 and b < len(word) and (r := get(parts[a] + parts[b])) is not None:
+                    heapq.heappush(heap, (r, a))
+        return [self.encoder[x] for x in parts if x is not None]
 
 
 @lru_cache(maxsize=4)
@@ -111,13 +123,15 @@ def replay(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarra
     ends = np.cumsum(sizes)
     starts = ends - sizes
     n = int(ends[-1])
-    tok = vocab.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
-    nxt, prev = np.arange(1, n + 1), np.arange(-1, n - 1)
+    place = np.int32 if n < 1 << 31 else np.int64
+    tok = vocab.byte_ids.astype(np.int32)[np.frombuffer(b"".join(words), dtype=np.uint8)]
+    nxt, prev = np.arange(1, n + 1, dtype=place), np.arange(-1, n - 1, dtype=place)
     nxt[ends - 1], prev[starts] = -1, -1
-    standing = np.full(n, -1, dtype=np.int64)  # rank of the pair that starts here
+    standing = np.full(n, -1, dtype=np.int32)  # rank of the pair that starts here
     alive = np.ones(n, dtype=bool)
-    left = np.flatnonzero(nxt >= 0)
-    standing[left] = vocab.pair_ranks(tok[left], tok[left + 1])
+    for a in range(0, n - 1, 1 << 18):
+        standing[a : a + (1 << 18)][: n - 1 - a] = vocab.pair_ranks(tok[a : min(n - 1, a + (1 << 18))], tok[a + 1 : a + 1 + (1 << 18)])
+    standing[ends - 1] = -1
 
     index: dict[int, list[np.ndarray]] = {}
     heap: list[int] = []
@@ -134,13 +148,14 @@ def replay(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarra
                 index[rank] = [positions[a:b]]
                 heapq.heappush(heap, rank)
 
-    if (begin := left[standing[left] >= 0]).size:
+    if (begin := np.flatnonzero(standing >= 0).astype(place)).size:
         enter(begin, standing[begin])
+    del begin
     odd: list[np.ndarray] = []
     while heap:
         rank = heapq.heappop(heap)
         lists = index.pop(rank)
-        p = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+        p = np.unique(np.concatenate(lists))
         p = p[standing[p] == rank]
         if not p.size:
             continue
@@ -152,6 +167,12 @@ def replay(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarra
             take = (at - head) % 2 == 0
             p, q = p[take], q[take]
         s = nxt[q]
+        if (next_to := s[:-1] == p[1:]).any():  # after the left merge, before the right one, these two stood side by side
+            between = p[:-1][next_to]
+            first = tok[p[1:][next_to]]
+            opened = vocab.pair_ranks(np.full(len(first), rank, dtype=np.int32), first)
+            if (hidden := (opened >= 0) & (opened < rank)).any():
+                odd.append(between[hidden])
         tok[p], nxt[p], alive[q], standing[q], standing[p] = rank, s, False, -1, -1
         has = s >= 0
         right, after = p[has], s[has]
@@ -217,50 +238,53 @@ class Encoder:
         return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        step = np.cumsum(sizes) // CHUNK_CHARS
-        for a, b in zip(cuts := [0, *(np.flatnonzero(np.diff(step)) + 1).tolist()], [*cuts[1:], batch.num_rows]):
-            yield batch.slice(a, b - a)
-
-
 def _appended(df: DataFrame, **kinds: T.DataType) -> tuple[DataFrame, T.StructType]:
     df = df.drop(*kinds)
     return df, T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in kinds.items())])
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, column: str = "text", out: str = "ids") -> DataFrame:
+def _broadcast(df: DataFrame, ranks_path: str):
+    """The rank file, read on the driver; a vocabulary does not grow with the data."""
+    with open(ranks_path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
+def _joined(vocab: Vocabulary, packed: list[bytes | None]) -> pa.Array:
+    """The bytes that packed ids stand for."""
+    token = vocab.decoder.__getitem__
+    return pa.array([None if x is None else b"".join(map(token, np.frombuffer(x, dtype="<u4").tolist())) for x in packed], pa.binary())
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, column: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """Add ``out``: the ids of the whole text as little-endian unsigned 32-bit integers in a binary.
 
-    The rank file is read on the driver and broadcast; a vocabulary does not grow with the data.
+    ``decoded`` names a further column with the bytes that those ids decode to, made in the same pass.
     """
-    with open(ranks_path, "rb") as f:
-        ranks = df.sparkSession.sparkContext.broadcast(f.read())
-    df, schema = _appended(df, **{out: T.BinaryType()})
+    ranks = _broadcast(df, ranks_path)
+    df, schema = _appended(df, **{out: T.BinaryType()}, **({decoded: T.BinaryType()} if decoded else {}))
 
     def run(batches):
-        encoder = Encoder(_vocabulary(ranks.value), pattern)
-        for part in _chunks(batches, column):
-            ids = pa.array(encoder(part.column(column).to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, out])
+        vocab = _vocabulary(ranks.value)
+        encoder = Encoder(vocab, pattern)
+        for part in sliced(batches, column, CHUNK_BYTES):
+            ids = encoder(part.column(column).to_pylist())
+            more = [pa.array(ids, pa.binary()), *([_joined(vocab, ids)] if decoded else [])]
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def decode(df: DataFrame, ranks_path: str, column: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``: the bytes that the packed ids stand for (null ids: null)."""
-    with open(ranks_path, "rb") as f:
-        ranks = df.sparkSession.sparkContext.broadcast(f.read())
+    ranks = _broadcast(df, ranks_path)
     df, schema = _appended(df, **{out: T.BinaryType()})
 
     def run(batches):
-        token = _vocabulary(ranks.value).decoder.__getitem__
-        for part in batches:
-            texts = [None if x is None else b"".join(map(token, np.frombuffer(x, dtype="<u4").tolist())) for x in part.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, out])
+        vocab = _vocabulary(ranks.value)
+        for part in sliced(batches, column, CHUNK_BYTES):
+            yield pa.RecordBatch.from_arrays([*part.columns, _joined(vocab, part.column(column).to_pylist())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def ids_array(df: DataFrame, column: str = "ids", out: str = "ids_array") -> DataFrame:
@@ -273,7 +297,7 @@ def ids_array(df: DataFrame, column: str = "ids", out: str = "ids_array") -> Dat
 
 def digests(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``df`` (doc_id, text)."""
-    both = decode(encode(df.select("doc_id", "text"), ranks_path, pattern).drop("text"), ranks_path)
+    both = encode(df.select("doc_id", "text"), ranks_path, pattern, decoded="decoded")
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
