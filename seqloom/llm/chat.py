@@ -14,7 +14,8 @@ also ``:``, ``\c``), so that no control string can appear inside a body.
 One shuffle by conversation serves the running offsets and the gathering of turns; a conversation is
 one value of the result, so its turns must meet in one task, and nothing else does.
 
-Edge cases: null text and null roles read as empty; turns with equal numbers follow role, then text;
+Edge cases: null text and null roles read as empty; turns with equal numbers follow role, then their parts
+as they came (those of one text part: the text);
 equal rows are separate turns; null turn numbers come first; a null conv_id is a conversation of its
 own; an empty table gives an empty result; clashing extra columns are not read.
 """
@@ -77,15 +78,18 @@ def format_chats(messages: DataFrame) -> DataFrame:
     ``loss`` has an entry for each turn, null outside the mask: struct<offset,start,length>, where the
     masked text lies in the whole text and in its turn, in code points.
     """
-    body, attached = visit(F.col("parts"))
-    role = F.coalesce("role", F.lit(""))
-    rows = messages.select("conv_id", "turn", role.alias("role"), body.alias("body"), attached.alias("attached"))
+    # only the parts travel; their texts as they came, not as escaped, settle the order of equal turns
+    rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), "parts")
     head = F.concat(F.lit("### "), escaped(F.col("role"), role=True), F.lit(": "))
-    rows = rows.select("conv_id", "turn", "role", "body", "attached", F.concat(head, "body", F.lit(TURN_END)).alias("piece"), F.length(head).alias("start"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "body")
-    before = F.coalesce(F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chars = F.length(head) + F.length(visit(F.col("parts"))[0]) + len(TURN_END)
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "parts")
+    rows = rows.withColumn("chars", chars)
+    before = F.coalesce(F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.select("conv_id", "turn", "role", "parts", F.row_number().over(order).alias("at"), before.alias("before"))
+    body, attached = visit(F.col("parts"))
+    placed = placed.select("conv_id", "turn", "role", "at", "before", body.alias("body"), attached.alias("attached"), head.alias("head"))
+    placed = placed.withColumn("start", F.length("head")).withColumn("piece", F.concat("head", "body", F.lit(TURN_END)))
     mask = F.when(F.col("role") == LOSS_ROLE, F.struct((F.col("before") + F.col("start")).alias("offset"), F.col("start"), F.length("body").alias("length")))
-    placed = rows.withColumn("at", F.row_number().over(order)).withColumn("before", before)
     turns = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "piece", mask.alias("mask"), "attached", "turn"))).alias("turns"))
     attachments = F.flatten(F.transform("turns", lambda t: F.transform(t.attached, lambda a: F.struct(t.turn.alias("turn"), a.n.alias("n"), a.kind.alias("kind"), a.ref.alias("ref"), a.tokens.alias("tokens")))))
     out = turns.select("conv_id", F.array_join(F.col("turns.piece"), "").alias("formatted"), F.col("turns.mask").alias("loss"), attachments.alias("attachments"))

@@ -28,6 +28,14 @@ def test_round_trip_and_mask(spark):
     assert chat.format_chats(chat.text_parts(df.limit(0))).count() == 0
 
 
+def test_ties_follow_the_text_not_its_escape(spark):
+    """Escaped, '#a' sorts after '$b' and '<' after 'Z'."""
+    texts = ["#a", "$b", "<z", "Z", "\\x", "]y", "", None, "#a"]
+    df = spark.createDataFrame([(1, 3, "user", t, "z") for t in reversed(texts)], SCHEMA)
+    back = chat.read_back(chat.format_chats(chat.text_parts(df))).first()
+    assert [t["text"] for t in back["turns"]] == sorted(t or "" for t in texts)
+
+
 def test_typed_parts(spark):
     parts = [("text", "see <this>", None, None, None, None, None), ("image", None, "a.png", 56, 29, None, None), ("text", None, None, None, None, None, None), ("audio", None, "b.wav", None, None, 1.5, None), ("document", None, "c.pdf", None, None, None, 3), ("image", None, "d.png", None, None, None, None)]
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None), (1, 2, "user", [])], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
