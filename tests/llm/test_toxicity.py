@@ -65,3 +65,33 @@ def test_edges(spark):
     assert t.weighed(d.limit(0), model, keep="doc_id").count() == 0
     twice = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
     assert len(t.weighed(d, t.learn(d, twice), keep="doc_id").collect()) == 4
+
+
+def test_signs_that_stand_for_i_or_l():
+    m = t.Model({" idiot ": 3.0, " stink": 2.0, " fool ": 1.0}, exceptions=())
+    for text in ("1d10t", "!d!ot", "Idi0t", "1di0t", "i​diot", "ídíot", "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d", "idiot", "1diot"):
+        assert t.weigh(m, f"you {text} there")[0] == (3.0 if text != "!d!ot" else 0.0), text  # a sign at a word's edge is none of its letters
+    assert t.weigh(m, "st1nker, stiñk st!nk")[0] == 6.0
+    assert t.weigh(m, "f001 foo1 fooi food")[0] == 2.0
+
+
+def test_many_exception_phrases_are_linear():
+    import time
+
+    m = t.Model({" trash ": 2.0})
+    began = time.process_time()
+    assert t.weigh(m, "trash can trash " * 50_000) == (100_000.0, 150_000)
+    assert time.process_time() - began < 10
+
+
+def test_exceptions_are_learned_from_clean_rows_alone(spark):
+    docs, labels = corpus()
+    docs = [(i, x + (" zlurpa stew" if i % 4 == 1 else ""), y) for i, x, y in docs]
+    model = t.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int, weight int"))
+    assert not any(w.startswith(" zlur") for w in model.entries) or "zlurpa stew" in model.exceptions
+    assert t.weigh(t.Model({" zlurpa ": 2.0}, (), model.exceptions), "grumblo zlurpa")[0] == 2.0
+
+
+def test_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "plain words", 3.0, 5), (1, "plain words", 4.0, 6)], "doc_id long, text string, score double, n_words int")
+    assert [r["n_words"] for r in t.weighed(d, t.Model({" plain ": 1.0}), keep="doc_id").collect()] == [2, 2]
