@@ -6,7 +6,7 @@ all through a long one) fails and is taken out. A document
 is rejected when the removed lines held more than ``most_lost`` of its non-space characters, or when
 it fails the base measures (too few words, too much of it in repeated eight-word windows).
 
-One pass in a task, no shuffle; memory is one Arrow batch and the windows of one document.
+One pass in a task, no shuffle; memory is one Arrow batch, a slice of it at work, and the windows of one document.
 
 Edge cases: null or empty text has no words, fails the base measures and is not kept; a text of one
 long line is one line; repeated rows are judged alike; columns named like an output are replaced.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table
+from .common import released, sliced, table
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -105,7 +105,7 @@ def judge(df: DataFrame, column: str = "text", most_lost: float = MOST_LOST, tex
     df = df.drop(*(f.name for f in fields if f.name != column))
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, column):
             texts = [t or "" for t in b.column(column).to_pylist()]
             rows = [base_measures(t.encode(), len(t)) for t in texts]
             failed = [r[0] < LEAST_WORDS or 100 * r[4] > MOST_REPEATED * r[0] for r in rows]
@@ -119,7 +119,7 @@ def judge(df: DataFrame, column: str = "text", most_lost: float = MOST_LOST, tex
             yield pa.RecordBatch.from_arrays([*(c for _, c in old), *more], names=[*(n for n, _ in old), *(f.name for f in fields)])
 
     schema = T.StructType([*(f for f in df.schema.fields if f.name != text_out), *fields])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

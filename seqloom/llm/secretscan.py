@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import released, sliced, table
 
 _ANY = frozenset(range(256))
 
@@ -344,7 +344,10 @@ class Scanner:
         data = (text or "").encode()
         found = self.spans(data)
         if found and len(data) != len(text):
-            place = {b: len(data[:b].decode()) for b in {x for a, _, e in found for x in (a, e)}}
+            place, chars, at = {}, 0, 0
+            for b in sorted({x for a, _, e in found for x in (a, e)}):
+                chars, at = chars + len(data[at:b].decode()), b
+                place[b] = chars
             return [(self.rules[k].kind, place[a], place[e]) for a, k, e in found]
         return [(self.rules[k].kind, a, e) for a, k, e in found]
 
@@ -366,25 +369,25 @@ def scan(df: DataFrame, column: str = "text", out: str = "spans", rules: tuple[R
 
     def run(batches):
         find = shared.value
-        for b in batches:
+        for b in sliced(batches, column):
             rows = [[dict(zip(("kind", "start", "end"), x)) for x in find(t)] for t in b.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, _SPANS)], names=[*b.schema.names, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, SPANS)]))
+    return df.mapInArrow(released(run), T.StructType([*df.schema.fields, T.StructField(out, SPANS)]))
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     """The text with each span, overlapping ones together, replaced by a mark of its first kind."""
-    out, done = [], 0
-    for i, (kind, start, end) in enumerate(spans):
-        if start >= done:
-            stop = end
-            for _, a, e in spans[i + 1 :]:
-                if a < stop:
-                    stop = max(stop, e)
-            out += [text[done:start], f"[{kind.upper()}]"]
+    out, done, stop = [], 0, -1
+    for kind, start, end in spans:
+        if start < stop:
+            stop = max(stop, end)
+            continue
+        if stop >= 0:
             done = stop
-    return "".join([*out, text[done:]])
+        out += [text[done:start], f"[{kind.upper()}]"]
+        stop = end
+    return "".join([*out, text[max(done, stop) :]])
 
 
 def redact(df: DataFrame, column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -393,11 +396,11 @@ def redact(df: DataFrame, column: str = "text", rules: tuple[Rule, ...] = RULES)
 
     def run(batches):
         find = shared.value
-        for b in batches:
+        for b in sliced(batches, column):
             texts = pa.array([t if t is None else redacted(t, find(t)) for t in b.column(column).to_pylist()], pa.string())
             yield b.set_column(b.schema.get_field_index(column), column, texts)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(released(run), df.schema)
 
 
 def joined(spans: Column) -> Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, released, sliced, table
 
 #: Distinct fingerprints under one four-position key beyond which five-position keys take over.
 LONG_LIST = 20_000
@@ -60,11 +60,11 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", column: str = "text", wi
     """(id, fp): fingerprints as signed longs."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             out = np.array([fingerprint(x, width, seed) for x in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["id", "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(column)).mapInArrow(run, "id long, fp long")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(column)).mapInArrow(released(run), "id long, fp long")
 
 
 def covering(size: int, shared: int, bytes_in: int = 8) -> list[int]:

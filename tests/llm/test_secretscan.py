@@ -52,3 +52,24 @@ def test_frames(spark):
     assert s.redact(df).orderBy("doc_id").collect()[3]["text"] == "[ASSIGN]!"
     assert [r["text"] for r in s.redact(df).orderBy("doc_id").collect()][:3] == texts[:3]
     assert s.scan(df.limit(0)).count() == 0
+
+
+def test_many_spans_beside_wide_characters():
+    """Places in code points and replaced texts, by a plain model; both are linear in the spans."""
+    import time
+
+    text = "é token=" + "x" * 12 + " ü\n"
+    many = text * 20_000
+    began = time.process_time()
+    found = s.scanner()(many)
+    out = s.redacted(many, found)
+    took = time.process_time() - began
+    assert found == [("assign", len(text) * i + 2, len(text) * i + 20) for i in range(20_000)]
+    assert out == "é [ASSIGN] ü\n" * 20_000 and took < 20
+    assert s.redacted("abcdefgh", [("a", 1, 3), ("b", 2, 5), ("c", 4, 6), ("d", 6, 7)]) == "a[A][D]h"
+
+
+def test_repeated_rows_and_null_columns(spark):
+    df = spark.createDataFrame([(1, "secret: 0123456789abcdef"), (1, "secret: 0123456789abcdef"), (None, None)], "doc_id long, text string")
+    assert sorted((len(r["spans"]) for r in s.scan(df).collect())) == [0, 2, 2]
+    assert sorted((r["text"] for r in s.redact(df).collect()), key=str) == [None, "[ASSIGN]", "[ASSIGN]"]
