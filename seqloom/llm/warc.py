@@ -1,22 +1,27 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by id. Shard borders come from a histogram of payload bytes over the id
-range, so the same rows give the same shards whatever the cluster or the input's partitions; a task
-streams its shards in order, rolls to the next file once a file's compressed size is reached, and
-writes every header and digest anew. Equal rows give equal bytes: record ids derive from the
+Records are range-sorted by (id, digest). A range sort of narrow rows (id, digest, bytes) and running sums
+of the bytes in that order give the shards: a shard ends where the running sum passes a multiple of its
+size. So shards are even whatever the ids look like, and the same rows give the same shards whatever the
+cluster or the input's partitions. Payload rows find their shard by binary search in the borders, one for
+each shard. A task streams its shards in order, rolls to the next file once a file's compressed size is
+reached, and writes every header and digest anew. Equal rows give equal bytes: record ids derive from the
 row, dates from a parameter, gzip members carry no time.
 
-A task writes under temporary names of its own attempt and reports what it wrote. The driver then
-moves the reported files to their final names and writes a manifest last; what lost or repeated
-attempts left behind is removed. A folder without a manifest is not an archive.
+A task writes under temporary names of its own attempt and reports what it wrote, a row for each file in
+the shared folder. A second job moves the reported files to their final names, in tasks, any of which may
+run again; then the manifest is written, a folder of JSON lines that Spark marks as complete. What lost or
+repeated attempts left behind goes with the folder of temporary names. A folder without a complete
+manifest is not an archive.
 
 Which of the records with equal payloads is the response is settled on (id, digest) rows alone; the
 outcome travels into the writer's shuffle as mark rows that sort before their page, so payloads are
 shuffled once.
 
-Edge cases: null payloads are empty; a null id is written as such and revisits like any other; rows
-that repeat the largest id of a payload are all responses; an empty table gives a manifest without
-files; a payload of any length is one record; clashing extra columns are not read.
+Edge cases: null payloads are empty; a null id is written as such, sorts first and revisits like any
+other; ids may lie anywhere among the longs; rows that repeat the largest id of a payload are all
+responses; rows equal in id and payload lie in one shard; an empty table gives a manifest without files; a
+payload of any length is one record; clashing extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,15 +38,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, table
+from ..plans.order import prefix_sum
+from .common import cut, released, shared_dir, table
 
-BINS = 4096
 #: Raw bytes of a shard: a 200th of all within these bounds.
 SHARD_BYTES = (4_000_000, 1_000_000_000)
 ROLL_BYTES = 64_000_000
+#: Tasks that read an archive; with more files than that, some read several.
+MOST_READERS = 10_000
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "manifest.json"
+MANIFEST = "manifest"
+TEMPORARY = "_temporary"
 
 _MANIFEST_SCHEMA = "name string, temporary string, records long, bytes long, first_id long, last_id long"
 _RECORD_SCHEMA = "id long, uri string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
@@ -125,7 +133,7 @@ class _Roller:
             self.number = self.number + 1 if shard == self.shard else 0
             self.shard, self.records, self.first = shard, 0, record_id
             self.name = f"part-{shard:06d}-{self.number:04d}.warc.gz"
-            self.temporary = f"_temporary-{self.attempt}-{self.name}"
+            self.temporary = f"{TEMPORARY}/{self.attempt}-{self.name}"
             self.out = self.fs.open_output_stream(f"{self.path}/{self.temporary}", compression=None)
             self.size = self.out.write(info := _info_record(self.name, self.date)) or len(info)
         self.out.write(data)
@@ -147,21 +155,35 @@ def revisits(narrow: DataFrame, least_bytes: int = 0) -> DataFrame:
     return narrow.where(F.col("bytes") >= least_bytes).join(shared, "digest").where("id is null or id < refers_to").select("id", "digest", "refers_to").distinct()
 
 
-def _borders(narrow: DataFrame, shard_bytes: int | None) -> list[int]:
-    """First ids of the shards after the first, from at most BINS sums."""
-    low, high, total = narrow.agg(F.min("id"), F.max("id"), F.sum(F.col("bytes") + 512)).first()
-    if low is None:
+def _borders(narrow: DataFrame, shard_bytes: int | None) -> list[tuple[int | None, str]]:
+    """(id, digest) at which the shards after the first begin: at most a border for each shard's size."""
+    total = narrow.agg(F.sum(F.col("bytes") + 512)).first()[0]
+    if total is None:
         return []
     size = shard_bytes or int(min(max(total / 200, SHARD_BYTES[0]), SHARD_BYTES[1]))
-    width = (high - low) // BINS + 1
-    bins = narrow.where("id is not null").groupBy(F.expr(f"(id - {low}L) div {width}L").alias("bin")).agg(F.sum(F.col("bytes") + 512).alias("bytes"))
-    borders, full = [], 0
-    for row in sorted(bins.collect()):
-        if full and full + row["bytes"] > size:
-            borders.append(low + row["bin"] * width)
-            full = 0
-        full += row["bytes"]
-    return borders
+    if total <= size:
+        return []
+    classes = narrow.groupBy("id", "digest").agg(F.sum(F.col("bytes") + 512).alias("bytes"))
+    summed, _ = prefix_sum(classes, ["id", "digest"], "bytes")
+    of = F.expr(f"before div {size}L")
+    firsts = summed.groupBy(of.alias("shard")).agg(F.min(F.struct("id", "digest")).alias("first"))
+    return [(r["first"]["id"], r["first"]["digest"]) for r in firsts.where("shard > 0").orderBy("shard").collect()]
+
+
+def _shard(borders: list[tuple[int | None, str]]):
+    """How many of the borders are not beyond a row's (id, hex)."""
+    if not borders:
+        return F.lit(0)
+    listed = F.from_json(F.lit(json.dumps([{"id": i, "digest": d} for i, d in borders])), "array<struct<id:bigint,digest:string>>")
+    own = F.struct(F.col("id"), F.col("hex").alias("digest"))
+
+    def halve(span, _):
+        mid = F.floor((span.low + span.high) / 2).cast("int")
+        right = (span.low < span.high) & (F.get(listed, mid) <= own)
+        return F.struct(F.when(right, mid + 1).otherwise(span.low).alias("low"), F.when(right | (span.low >= span.high), span.high).otherwise(mid).alias("high"))
+
+    span = F.struct(F.lit(0).alias("low"), F.lit(len(borders)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(borders).bit_length())), span, halve, lambda x: x.low)
 
 
 def write(df: DataFrame, folder: str, id_col: str, uri_col: str, payload_col: str, least_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shard_bytes: int | None = None, date: str = DATE) -> DataFrame:
@@ -170,50 +192,62 @@ def write(df: DataFrame, folder: str, id_col: str, uri_col: str, payload_col: st
     narrow = cut(pages.select("id", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("bytes")))
     borders = _borders(narrow, shard_bytes)
     none = lambda kind: F.lit(None).cast(kind)
-    marks = revisits(narrow, least_bytes).select("id", F.lit(0).alias("is_page"), none("string").alias("uri"), none("binary").alias("payload"), F.unhex("digest").alias("digest"), "refers_to")
-    rows = pages.select("id", F.lit(1).alias("is_page"), "uri", "payload", none("binary").alias("digest"), none("long").alias("refers_to")).unionByName(marks)
-    shard = F.coalesce(F.size(F.filter(F.lit(borders).cast("array<bigint>"), lambda b: b <= F.col("id"))), F.lit(0)) if borders else F.lit(0)
-    dealt = rows.withColumn("shard", F.when(F.col("id").isNull(), 0).otherwise(shard))
-    order = ["shard", "id", "is_page", "uri", "payload"]
-    dealt = dealt.repartitionByRange(max(1, len(borders) + 1), "shard").sortWithinPartitions(*order).select("shard", "id", "is_page", "uri", "payload", "digest", "refers_to")
+    marks = revisits(narrow, least_bytes).select("id", F.col("digest").alias("hex"), F.lit(0).alias("is_page"), none("string").alias("uri"), none("binary").alias("payload"), "refers_to")
+    rows = pages.select("id", F.sha1("payload").alias("hex"), F.lit(1).alias("is_page"), "uri", "payload", none("long").alias("refers_to")).unionByName(marks)
+    dealt = rows.withColumn("shard", _shard(borders)).withColumn("hex", F.unhex("hex"))
+    dealt = dealt.repartitionByRange(len(borders) + 1, "shard").sortWithinPartitions("shard", "id", "hex", "is_page", "uri").select("shard", "id", "hex", "is_page", "uri", "payload", "refers_to")
     fs, path = _file_system(folder)
-    fs.create_dir(path, recursive=True)
+    fs.create_dir(f"{path}/{TEMPORARY}", recursive=True)
 
     def run(batches):
         task = TaskContext.get()
         files = _Roller(folder, f"{task.stageId()}.{task.taskAttemptId()}", roll_bytes, date)
-        here, known = object(), {}
+        marked, target = None, None
         for b in batches:
-            for shard, record_id, is_page, uri, payload, digest, refers in zip(*(c.to_pylist() for c in b.columns)):
-                if here != record_id:
-                    here, known = record_id, {}
+            payloads = b.column(5)
+            for i, (shard, record_id, digest, is_page, uri, refers) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 6)))):
                 if is_page:
-                    files.put(shard, record_id, page_record(record_id, uri, payload, known.get(hashlib.sha1(payload).digest()) if known else None, date))
+                    payload = payloads[i].as_py()  # one at a time
+                    files.put(shard, record_id, page_record(record_id, uri, payload, target if marked == (record_id, digest) else None, date))
                 else:
-                    known[digest] = refers
+                    marked, target = (record_id, digest), refers
         files.close()
         columns = list(zip(*files.done)) or [()] * 6
         kinds = [pa.string(), pa.string(), *[pa.int64()] * 4]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in _MANIFEST_SCHEMA.split(", ")])
 
-    manifest = cut(dealt.mapInArrow(run, _MANIFEST_SCHEMA))
-    commit(folder, [r.asDict() for r in manifest.orderBy("name").collect()])  # a row for each file
-    return manifest.drop("temporary")
+    reported = cut(dealt.mapInArrow(released(run), _MANIFEST_SCHEMA))
+    return commit(folder, reported)
 
 
-def commit(folder: str, files: list[dict]) -> None:
+def commit(folder: str, reported: DataFrame) -> DataFrame:
     """Give the reported files their final names, write the manifest, remove what is left over."""
-    from pyarrow import fs as pafs
 
+    def moved(batches):
+        fs, path = _file_system(folder)
+        for b in batches:
+            for name, temporary in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    fs.move(f"{path}/{temporary}", f"{path}/{name}")
+                except OSError:  # an attempt before this one has moved it
+                    if not fs.get_file_info(f"{path}/{name}").is_file:
+                        raise
+            yield b.select([0, *range(2, b.num_columns)])
+
+    kept = ", ".join(x for x in _MANIFEST_SCHEMA.split(", ") if not x.startswith("temporary "))
+    reported.mapInArrow(moved, kept).write.mode("overwrite").json(f"{folder}/{MANIFEST}")
     fs, path = _file_system(folder)
-    for f in files:
-        fs.move(f"{path}/{f['temporary']}", f"{path}/{f['name']}")
-    with fs.open_output_stream(f"{path}/_temporary-{MANIFEST}") as out:
-        out.write(json.dumps([{k: v for k, v in f.items() if k != "temporary"} for f in files], indent=1).encode())
-    fs.move(f"{path}/_temporary-{MANIFEST}", f"{path}/{MANIFEST}")
-    for x in fs.get_file_info(pafs.FileSelector(path)):
-        if x.base_name.startswith("_temporary-"):
-            fs.delete_file(x.path)
+    fs.delete_dir(f"{path}/{TEMPORARY}")
+    return manifest(reported.sparkSession, folder)
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, records, bytes, first_id, last_id) of a committed archive, a row for each file."""
+    fs, path = _file_system(folder)
+    if not fs.get_file_info(f"{path}/{MANIFEST}/_SUCCESS").is_file:
+        raise FileNotFoundError(f"{folder} has no complete manifest")
+    kept = ", ".join(x for x in _MANIFEST_SCHEMA.split(", ") if not x.startswith("temporary "))
+    return spark.read.schema(kept).json(f"{folder}/{MANIFEST}")
 
 
 def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
@@ -222,10 +256,8 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     (id, uri, record_type, payload, payload_bytes, payload_digest, refers_to); the length and digest
     of a revisit are those of the full payload.
     """
-    fs, path = _file_system(folder)
-    with fs.open_input_stream(f"{path}/{MANIFEST}") as f:
-        names = [(x["name"],) for x in json.loads(f.read())]
-    files = spark.createDataFrame(names, "name string").repartition(max(1, len(names)), "name")
+    names = manifest(spark, folder).select("name")
+    files = names.repartitionByRange(min(max(1, names.count()), MOST_READERS), "name")
 
     def run(batches):
         own, base = _file_system(folder)

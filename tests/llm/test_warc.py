@@ -1,5 +1,4 @@
 import hashlib
-import json
 import os
 
 import pytest
@@ -16,15 +15,15 @@ def frame(spark, rows=PAGES):
 
 def archive(spark, folder, parts, **more):
     warc.write(frame(spark).repartition(parts), str(folder), "page_id", "url", "html", **more)
-    return {f: open(os.path.join(folder, f), "rb").read() for f in sorted(os.listdir(folder)) if not f.startswith(".")}
+    return {f: open(os.path.join(folder, f), "rb").read() for f in sorted(os.listdir(folder)) if f.endswith(".gz")}
 
 
 def test_same_bytes_whatever_the_partitions(spark, tmp_path):
     small = {"roll_bytes": 2000, "shard_bytes": 20_000}
     a, b = archive(spark, tmp_path / "a", 1, **small), archive(spark, tmp_path / "b", 5, **small)
     assert a == b and len(a) > 5
-    manifest = json.loads(a[warc.MANIFEST])
-    assert {m["name"] for m in manifest} | {warc.MANIFEST} == set(a)
+    manifest = [r.asDict() for r in warc.manifest(spark, str(tmp_path / "a")).collect()]
+    assert {m["name"] for m in manifest} == set(a)
     assert all(m["bytes"] == len(a[m["name"]]) for m in manifest) and sum(m["records"] for m in manifest) == len(PAGES)
     firsts = [m["first_id"] for m in sorted(manifest, key=lambda m: m["name"])]
     assert firsts == sorted(firsts)  # files follow the ids
@@ -52,12 +51,38 @@ def test_round_trip(spark, tmp_path, least):
 
 
 def test_what_a_lost_attempt_leaves_goes(spark, tmp_path):
-    os.makedirs(tmp_path / "w")
-    (tmp_path / "w" / "_temporary-9.9-part-000000-0000.warc.gz").write_bytes(b"half")
+    os.makedirs(tmp_path / "w" / warc.TEMPORARY)
+    (tmp_path / "w" / warc.TEMPORARY / "9.9-part-000000-0000.warc.gz").write_bytes(b"half")
     warc.write(frame(spark), str(tmp_path / "w"), "page_id", "url", "html")
     assert not [f for f in os.listdir(tmp_path / "w") if f.startswith("_temporary")]
 
 
+def test_moves_that_run_again(spark, tmp_path):
+    """A task of the commit that is repeated finds its files in place; a file that is nowhere is an error."""
+    os.makedirs(tmp_path / warc.TEMPORARY)
+    (tmp_path / warc.TEMPORARY / "1.1-a").write_bytes(b"x")
+    (tmp_path / "b").write_bytes(b"moved before")
+    row = lambda name: (name, f"{warc.TEMPORARY}/1.1-{name}", 1, 1, 1, 1)
+    files = spark.createDataFrame([row("a"), row("b")], warc._MANIFEST_SCHEMA)
+    assert sorted(r["name"] for r in warc.commit(str(tmp_path), files).collect()) == ["a", "b"]
+    with pytest.raises(Exception, match="No such file"):
+        warc.commit(str(tmp_path), spark.createDataFrame([row("c")], warc._MANIFEST_SCHEMA))
+
+
+def test_even_shards_whatever_the_ids(spark, tmp_path):
+    """Outlying, negative, very wide and null ids, and one id that holds a third of all rows."""
+    rows = [(i, "u", f"page {i} " * 20) for i in range(300)] + [(7, "u", f"another {i} " * 20) for i in range(150)]
+    rows += [(-9 * 10**18, "u", "low"), (9 * 10**18, "u", "high"), (-3, "u", "page 5 " * 20), (None, "u", "none"), (None, "u", "high")]
+    warc.write(frame(spark, rows), str(tmp_path / "w"), "page_id", "url", "html", shard_bytes=10_000)
+    files = warc.manifest(spark, str(tmp_path / "w")).collect()
+    shards = {}
+    for f in files:
+        shards[f["name"][:11]] = shards.get(f["name"][:11], 0) + f["records"]
+    assert len(shards) > 20 and max(shards.values()) < 4 * len(rows) / len(shards)
+    got = {(r["id"], r["payload_digest"]): r["refers_to"] for r in warc.read(spark, str(tmp_path / "w")).collect()}
+    assert len(got) == len(rows) and got[(-3, warc.digest32(b"page 5 " * 20))] == 5 and got[(None, warc.digest32(b"high"))] == 9 * 10**18
+
+
 def test_empty_and_broken(spark, tmp_path):
     warc.write(frame(spark, []), str(tmp_path / "w"), "page_id", "url", "html")
     assert warc.read(spark, str(tmp_path / "w")).count() == 0
