@@ -10,7 +10,8 @@ squared residuals, each relative to the tokens its domain has:
     r_i <- max(0, r_i - sum_d p_id (sum_j r_j n_j p_jd - T_d) / E_d),   r = 1 at the start.
 
 In that scaling no eigenvalue of the problem exceeds one, so the unit step always descends; all that
-leaves the executors in a step is one residual for each domain. Rates are cut to the shared folder
+leaves the executors in a step is one residual for each domain. Rows of equal posteriors share their rate
+at every step, so a step costs as much as there are distinct posteriors. Rates are cut to the shared folder
 every ``CUT_EVERY`` steps so that expressions stay short.
 
 The classifier sees at most ``MOST_LABELLED`` labelled rows (those of smallest hash) and keeps at
@@ -19,7 +20,8 @@ over all documents. Nothing is keyed by source or domain in a shuffle, so hot on
 
 Edge cases: null or empty text has no tokens, its posterior is that of rows without hits; labelled rows with a null
 or unknown domain are left out; without labelled rows the posterior is even; an empty table gives an
-empty result; a repeated id is scored once for each row; clashing extra columns are not read.
+empty result; a repeated id is scored once for each row; null ids are documents like others, all rounded alike; clashing
+extra columns are not read. Targets that nonnegative rates can't meet are missed by least squares and said.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.sequence import bounded
 from .common import cut, table, text_of
 
 _LOG = logging.getLogger(__name__)
@@ -42,7 +45,9 @@ LEAST_G = 30.0
 #: and at least these log odds.
 LEAST_ODDS = 1.5
 CUT_EVERY = 8
-MOST_STEPS = 48
+MOST_STEPS = 80
+#: Steps of plain descent; later ones are scaled by curvature.
+PLAIN_STEPS = 48
 TOLERANCE = 1e-4
 MOST_EPOCHS = 2.0
 
@@ -159,38 +164,84 @@ def posteriors(docs: DataFrame, domains: list[str], features: dict[str, int], ce
     return found.select(*keep, "n_tokens", out.alias("p")).select(*keep, "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)))
 
 
-def rates(soft: DataFrame, targets: dict[str, float], budget: float | None = None, least: Column | None = None) -> DataFrame:
+def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """The solution of a symmetric system of a few unknowns, drawn to zero where it is singular."""
+    n = len(right)
+    ridge = 1e-9 * max(1e-300, *(matrix[i][i] for i in range(n)))
+    rows = [[*(x + (ridge if i == j else 0.0) for j, x in enumerate(row)), y] for i, (row, y) in enumerate(zip(matrix, right))]
+    for i in range(n):
+        top = max(range(i, n), key=lambda k: abs(rows[k][i]))
+        rows[i], rows[top] = rows[top], rows[i]
+        rows[i] = [x / rows[i][i] for x in rows[i]]
+        for k in range(n):
+            if k != i:
+                rows[k] = [x - rows[k][i] * y for x, y in zip(rows[k], rows[i])]
+    return [row[-1] for row in rows]
+
+
+def rates(soft: DataFrame, targets: dict[str, float], budget: float | None = None, least: Column | None = None, most_epochs: float | None = MOST_EPOCHS, most_steps: int = MOST_STEPS, strict: bool = False) -> DataFrame:
     """Add ``rate``. Targets are weights; ``budget`` is the total of expected tokens.
 
-    Without a budget the domain of the largest weight keeps the tokens it has and the others follow.
-    No domain aims at more than MOST_EPOCHS times what it has; what a domain has, was asked for, aimed at
-    and reached is logged, as a warning if the steps or that bound leave a target missed. ``least`` bounds a row's rate from below.
+    Without a budget the domain of the largest weight keeps the tokens it has and the others follow. No
+    domain aims at more than ``most_epochs`` times what it has (None: no such bound). ``least``, a column
+    of the posteriors, bounds rates from below. What a domain has, was asked for, aimed at and reached is
+    logged, as a warning if a target is missed; ``strict`` makes that an error.
+
+    The gradient at a row depends on its posteriors alone and all rates start equal, so rows of equal
+    posteriors have equal rates at every step: the descent runs over the distinct posteriors and their tokens.
     """
-    domains = list(targets)
+    domains, ps = list(targets), [f"p_{d}" for d in targets]
     total = lambda d, r: F.sum(F.col("n_tokens") * F.col(f"p_{d}") * r)
-    have = soft.agg(*(total(d, F.lit(1.0)).alias(d) for d in domains)).first()
-    have = {d: float(have[d] or 0.0) for d in domains}
+    classes = cut(soft.groupBy(*ps).agg(F.sum("n_tokens").cast("double").alias("n_tokens")))
+
+    def tokens(rows, rate):
+        got = rows.agg(*(total(d, rate).alias(d) for d in domains)).first()
+        return {d: float(got[d] or 0.0) for d in domains}
+
+    have = tokens(classes, F.lit(1.0))
     weight = sum(targets.values())
     if budget is None:
         lead = max(domains, key=lambda d: targets[d])
         budget = have[lead] * weight / targets[lead]
-    aim = {d: min(budget * targets[d] / weight, MOST_EPOCHS * have[d]) for d in domains}
-    now, rate, residual = soft, F.lit(1.0), {d: have[d] - aim[d] for d in domains}
-    for step in range(1, MOST_STEPS + 1):
-        if max(abs(x) for x in residual.values()) <= TOLERANCE * max(budget, 1.0):
-            break
+    asked = {d: budget * targets[d] / weight for d in domains}
+    aim = asked if most_epochs is None else {d: min(asked[d], most_epochs * have[d]) for d in domains}
+    bound, scale = F.lit(0.0) if least is None else least, max(budget, 1.0)
+    gap = lambda got: {d: got[d] - aim[d] for d in domains}
+    far = lambda residual: max(map(abs, residual.values()))
+
+    def descended(rate, residual):
         pull = reduce(lambda a, b: a + b, (F.col(f"p_{d}") * F.lit(residual[d] / have[d] if have[d] > 0 else 0.0) for d in domains))
-        rate = F.greatest(F.lit(0.0) if least is None else least, rate - pull)
-        if step % CUT_EVERY == 0:
-            now, rate = cut(now.withColumn("rate", rate)), F.col("rate")
-        got = now.agg(*(total(d, rate).alias(d) for d in domains)).first()
-        residual = {d: float(got[d] or 0.0) - aim[d] for d in domains}
+        return F.greatest(bound, rate - pull)
+
+    now, rate, residual = classes, F.lit(1.0), gap(have)
+    for step in range(1, most_steps + 1):
+        if far(residual) <= TOLERANCE * scale:
+            break
+        if step <= PLAIN_STEPS:
+            rate = descended(rate, residual)
+            if step % CUT_EVERY == 0 or step == PLAIN_STEPS:
+                now, rate = cut(now.withColumn("rate", rate)), F.col("rate")
+            was, residual = residual, gap(tokens(now, rate))
+        else:  # slow: the gradient scaled by the curvature over the rates that aren't at their bound
+            free = F.when(F.col("rate") > bound, F.col("n_tokens")).otherwise(0.0)
+            bent = now.agg(*(F.sum(free * F.col(a) * F.col(b)).alias(f"{i} {j}") for i, a in enumerate(ps) for j, b in enumerate(ps))).first()
+            pull = _solved([[float(bent[f"{i} {j}"] or 0.0) for j in range(len(ps))] for i in range(len(ps))], [residual[d] for d in domains])
+            now = cut(now.withColumn("rate", F.greatest(bound, F.col("rate") - reduce(lambda a, b: a + b, (F.col(p) * F.lit(x) for p, x in zip(ps, pull))))))
+            was, residual = residual, gap(tokens(now, F.col("rate")))
+        if step > CUT_EVERY and far({d: residual[d] - was[d] for d in domains}) <= 1e-3 * TOLERANCE * scale:
+            break  # settled: what is missing is out of reach
     reached = {d: aim[d] + residual[d] for d in domains}
-    asked = {d: budget * targets[d] / weight for d in domains}
-    missed = any(abs(reached[d] - asked[d]) > 10 * TOLERANCE * max(budget, 1.0) for d in domains)
     said = "; ".join(f"{d}: has {have[d]:.0f}, asked {asked[d]:.0f}, aimed {aim[d]:.0f}, reached {reached[d]:.0f}" for d in domains)
-    (_LOG.warning if missed else _LOG.info)("tokens of the mix: %s", said)
-    return now.withColumn("rate", rate)
+    if any(abs(reached[d] - asked[d]) > 10 * TOLERANCE * scale for d in domains):
+        if strict:
+            raise ValueError(f"targets of the mix are missed: {said}")
+        _LOG.warning("tokens of the mix: %s", said)
+    else:
+        _LOG.info("tokens of the mix: %s", said)
+    fitted = cut(now.select(*(F.col(p).alias(f"_{p}") for p in ps), rate.alias("rate")))
+    fitted = bounded(fitted, fitted.count())
+    same = reduce(lambda a, b: a & b, (F.col(p).eqNullSafe(F.col(f"_{p}")) for p in ps))
+    return soft.drop("rate").join(fitted, same).drop(*(f"_{p}" for p in ps))
 
 
 def copies(rate: Column, key: Column, seed: int = 10) -> Column:
@@ -198,7 +249,7 @@ def copies(rate: Column, key: Column, seed: int = 10) -> Column:
     return F.floor(rate + F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))).cast("long")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None, keep: tuple[str, ...] = (), most_epochs: float | None = MOST_EPOCHS, strict: bool = False) -> DataFrame:
     """(doc_id, keep..., n_tokens, p_<domain>..., rate, copies) for every row of docs (doc_id, text, keep...).
 
     Without a budget, documents more likely than not of the domain of the largest weight stay: their
@@ -207,7 +258,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     domains = list(targets)
     lead = max(domains, key=lambda d: targets[d])
     least = F.when(F.col(f"p_{lead}") >= 0.5, 1.0).otherwise(0.0) if budget is None else None
-    fitted = rates(cut(posteriors(docs, domains, *fit(docs, labelled, domains), "doc_id", *keep)), targets, budget, least)
+    fitted = rates(cut(posteriors(docs, domains, *fit(docs, labelled, domains), "doc_id", *keep)), targets, budget, least, most_epochs, strict=strict)
     times = copies(F.col("rate"), F.col("doc_id"))
     if keep:
         times = F.when(F.col("doc_id").isNull(), copies(F.col("rate"), F.col(keep[0]))).otherwise(times)

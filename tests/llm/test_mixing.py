@@ -117,3 +117,27 @@ def test_missed_targets_are_said(spark, caplog):
         m.rates(soft(spark, p, n), {"a": 0.9, "b": 0.1, "c": 0.0})
     assert [r.levelname for r in caplog.records] == ["WARNING", "INFO"]
     assert "b: has 10, asked 90, aimed 20, reached 20" in caplog.records[0].getMessage()
+
+
+def test_targets_beyond_two_epochs_and_strict(spark):
+    p, n = np.array([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]]), np.array([100, 100])
+    want = {"a": 0.2, "b": 0.8, "c": 0.0}
+    rows = m.rates(soft(spark, p, n), want, budget=400.0, most_epochs=None, strict=True).orderBy("doc_id").collect()
+    assert [round(r["rate"], 3) for r in rows] == [0.8, 3.2]
+    with pytest.raises(ValueError, match="b: has 100, asked 320, aimed 200, reached 200"):
+        m.rates(soft(spark, p, n), want, budget=400.0, strict=True)
+
+
+def test_close_posteriors_reach_their_targets(spark):
+    """Ill-conditioned: plain steps alone leave a tenth of the shift undone."""
+    rng = np.random.default_rng(5)
+    a = rng.uniform(0.46, 0.54, 300)
+    p, n = np.column_stack((a, 1 - a, np.zeros(300))), np.full(300, 100)
+    rows = m.rates(soft(spark, p, n), {"a": 0.52, "b": 0.48, "c": 0.0}, budget=30_000.0, strict=True).collect()
+    got = sum(r["rate"] * r["n_tokens"] * r["p_a"] for r in rows)
+    assert abs(got - 15_600) < 30 and min(r["rate"] for r in rows) >= 0
+
+
+def test_null_posteriors_and_ids(spark):
+    rows = spark.createDataFrame([(None, 5, 0.5, 0.5, None), (1, 5, 0.5, 0.5, 0.0)], "doc_id long, n_tokens long, p_a double, p_b double, p_c double")
+    assert m.rates(rows, {"a": 0.5, "b": 0.5, "c": 0.0}).count() == 2
