@@ -63,13 +63,10 @@ def bench(a) -> int:
 
 
 def generate(a) -> int:
-    import numpy as np
-
-    from .sources.intseq import write_ints
+    from .sources.intseq import save_ints
     from .sources.synthetic import generate as make
 
-    rows = make(_session(), a.sigma, a.base_len, a.copies, a.mutation).orderBy("pos").toLocalIterator()
-    write_ints(np.fromiter((r["val"] for r in rows), dtype=np.int64), a.output)
+    print(save_ints(make(_session(), a.sigma, a.base_len, a.copies, a.mutation), a.output), "values")
     return 0
 
 

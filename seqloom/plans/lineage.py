@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder; Spark takes it from ``spark.checkpoint.dir``, else (tests) it is a temporary one."""
+    """The checkpoint folder, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves a local session and goes with it; executors on other
+    machines could not see such a folder, so there it is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seqloom-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if place is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            place = tempfile.mkdtemp(prefix="seqloom-")
+            atexit.register(shutil.rmtree, place, ignore_errors=True)
+        sc.setCheckpointDir(place)
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute once; later plans start from the stored rows, and a lost executor loses none of them."""
+    """Compute once; later plans start from the stored rows, and a lost executor loses none of them.
+
+    Spark removes the stored rows with the frame if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more, wherever Spark can write."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -25,30 +25,58 @@ from .lineage import cut
 BUCKET = 1 << 16
 
 
-def prefix_sum(df: DataFrame, order: list[str], value: str | None = None, out: str = "before", partitions: int | None = None) -> tuple[DataFrame, int]:
-    """Add ``out``, the sum of ``value`` (each row: 1) over the rows before in ``order``; also the total."""
+class OrderError(ValueError):
+    """Rows that should have an order of their own share one."""
+
+
+def _repeats(batch: pa.RecordBatch, order: list[str], last: list[pa.Scalar] | None) -> int:
+    """Rows whose order columns equal those of the row before; ``last`` are those before the batch."""
+    if not batch.num_rows:
+        return 0
+    same = np.ones(batch.num_rows, dtype=bool)
+    same[0] = last is not None and [x.as_py() for x in last] == [batch.column(c)[0].as_py() for c in order]
+    for c in order:
+        a, b = batch.column(c)[1:], batch.column(c)[:-1]
+        equal = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        same[1:] &= equal.to_numpy(zero_copy_only=False)
+    return int(same.sum())
+
+
+def prefix_sum(df: DataFrame, order: list[str], value: str | None = None, out: str = "before", partitions: int | None = None, unique: bool = False) -> tuple[DataFrame, int]:
+    """Add ``out``, the sum of ``value`` (each row: 1) over the rows before in ``order``; also the total.
+
+    ``unique``: raise OrderError if rows share their order; equal rows meet in one sorted partition, so
+    that costs a look at neighbours.
+    """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_in", T.LongType()), T.StructField("_own", T.LongType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_in", T.LongType()), T.StructField("_own", T.LongType()), T.StructField("_same", T.LongType())])
 
     def run(batches):
-        part, total = TaskContext.get().partitionId(), 0
+        part, total, last = TaskContext.get().partitionId(), 0, None
         for b in batches:
+            same = np.zeros(b.num_rows, dtype=np.int64)
+            if unique and b.num_rows:
+                same[0] = _repeats(b, order, last)
+                last = [b.column(c)[-1] for c in order]
             own = np.ones(b.num_rows, dtype=np.int64) if value is None else pc.cast(b.column(value), pa.int64()).to_numpy(zero_copy_only=False)
             sums = np.cumsum(own)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, dtype=np.int32)), pa.array(total + sums - own), pa.array(own)], names=[*b.schema.names, "_part", "_in", "_own"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, dtype=np.int32)), pa.array(total + sums - own), pa.array(own), pa.array(same)], names=schema.names)
             total += int(sums[-1]) if b.num_rows else 0
 
     placed = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, schema))
-    totals = {r["_part"]: r["t"] for r in placed.groupBy("_part").agg(F.sum("_own").alias("t")).collect()}  # a number for each partition
+    found = placed.groupBy("_part").agg(F.sum("_own").alias("t"), F.sum("_same").alias("same")).collect()  # two numbers for each partition
+    if repeated := sum(r["same"] for r in found):
+        raise OrderError(f"{repeated} rows share their order with another")
+    totals = {r["_part"]: r["t"] for r in found}
     sums = [totals.get(p, 0) for p in range(max(totals, default=-1) + 1)]
     starts = [0, *accumulate(sums)]
     first = F.array(*map(F.lit, starts))[F.col("_part")] if len(starts) > 1 else F.lit(0)
-    return placed.withColumn(out, (F.col("_in") + first).cast("long")).drop("_part", "_in", "_own"), starts[-1]
+    return placed.withColumn(out, (F.col("_in") + first).cast("long")).drop("_part", "_in", "_own", "_same"), starts[-1]
 
 
-def numbered(df: DataFrame, order: list[str], out: str = "k") -> tuple[DataFrame, int]:
-    """Add ``out``: 0-based position in the order, which must be unique; also the number of rows."""
-    return prefix_sum(df, order, None, out)
+def numbered(df: DataFrame, order: list[str], out: str = "k", check: bool = False) -> tuple[DataFrame, int]:
+    """Add ``out``: 0-based position in the order, which must be unique (``check``: or it is an error); also the number of rows."""
+    return prefix_sum(df, order, None, out, unique=check)
 
 
 def following(df: DataFrame, m: int, column: str = "id", key: str = "k", group: str | None = None, prefix: str = "x", bucket: int = BUCKET) -> DataFrame:

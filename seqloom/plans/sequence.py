@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut
-from .order import numbered
+from .order import OrderError, numbered
 
 #: A table of at most so many rows may be broadcast: its rows are a few longs and short strings.
 BROADCAST_ROWS = 500_000
@@ -49,13 +49,12 @@ def from_table(df: DataFrame, order: list[str], symbol: str | Column, group: str
     symbol = F.col(symbol) if isinstance(symbol, str) else symbol
     keys = [*([group] if group else []), *order]
     rows = df.select(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(keys)), symbol.alias("val"))
-    wrong = rows.agg(F.count_if(F.col("val").isNull()).alias("nulls"), F.count("*").alias("n")).first()
-    if wrong["nulls"]:
-        raise SequenceError(f"{wrong['nulls']} symbols are null")
-    names = [f"_o{i}" for i in range(len(keys))]
-    if not rows.groupBy(*names).count().where("count > 1").isEmpty():
-        raise SequenceError(f"the order {keys} is not unique")
-    placed, n = numbered(rows, names)
+    try:
+        placed, n = numbered(rows, [f"_o{i}" for i in range(len(keys))], check=True)
+    except OrderError as e:
+        raise SequenceError(f"the order {keys} is not unique: {e}") from None
+    if nulls := placed.where("val is null").count():
+        raise SequenceError(f"{nulls} symbols are null")
     words, sigma = dictionary(placed)
     words = cut(words)
     seq = placed.join(bounded(words, sigma), "val").select("k", "id", *([F.col("_o0").alias("grp")] if group else []))

@@ -6,10 +6,12 @@ import logging
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..plans.order import numbered
 from ..plans.sequence import Sequence, from_table
 
 WIDTHS = (1, 2, 4, 8)
@@ -24,8 +26,10 @@ def _open(path: str):
 
 
 class _Range(InputPartition):
-    def __init__(self, begin: int, end: int):
-        self.begin, self.end = begin, end
+    """Records ``begin`` to ``end`` of a file, whose first one has the position ``first``."""
+
+    def __init__(self, path: str, begin: int, end: int, first: int):
+        self.path, self.begin, self.end, self.first = path, begin, end, first
 
 
 class _Reader(DataSourceReader):
@@ -35,29 +39,42 @@ class _Reader(DataSourceReader):
             raise ValueError(f"width must be one of {WIDTHS}")
 
     def partitions(self):
+        from pyarrow import fs as pafs
+
         fs, path = _open(self.path)
-        size = fs.get_file_info(path).size
-        if size % self.width:
-            _log.warning("%s: the last %d bytes don't fill a record and are ignored", self.path, size % self.width)
-        n, step = size // self.width, max(1, self.split // self.width)
-        return [_Range(a, min(n, a + step)) for a in range(0, n, step)] or [_Range(0, 0)]
+        info = fs.get_file_info(path)
+        files = [info]
+        if info.type == pafs.FileType.Directory:
+            files = sorted((x for x in fs.get_file_info(pafs.FileSelector(path)) if x.is_file and not x.base_name.startswith(("_", "."))), key=lambda x: x.base_name)
+        parts, first, step = [], 0, max(1, self.split // self.width)
+        for x in files:
+            if x.size % self.width:
+                _log.warning("%s: the last %d bytes don't fill a record and are ignored", x.path, x.size % self.width)
+            n = x.size // self.width
+            parts += [_Range(x.path, a, min(n, a + step), first) for a in range(0, n, step)]
+            first += n
+        return parts or [_Range(path, 0, 0, 0)]
 
     def read(self, part):
-        fs, path = _open(self.path)
-        with fs.open_input_file(path) as f:
+        if part.end == part.begin:
+            return
+        fs, _ = _open(self.path)
+        with fs.open_input_file(part.path) as f:
             for a in range(part.begin, part.end, 1_000_000):
                 n = min(1_000_000, part.end - a)
                 f.seek(a * self.width)
                 values = np.frombuffer(f.read(n * self.width), dtype=f"<u{self.width}")
-                if self.width == 8:  # beyond a long
-                    column = pa.array([int(v) for v in values], pa.decimal128(20, 0))
+                if self.width == 8:  # beyond a long: the lower half of a 128-bit decimal
+                    halves = np.zeros((n, 2), dtype="<u8")
+                    halves[:, 0] = values
+                    column = pa.Array.from_buffers(pa.decimal128(20, 0), n, [None, pa.py_buffer(halves.tobytes())])
                 else:
                     column = pa.array(values.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + n)), column], names=["pos", "val"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.first + a, part.first + a + n)), column], names=["pos", "val"])
 
 
 class IntSequenceSource(DataSource):
-    """spark.read.format("intseq").option("width", 4).load(path): (pos, val)."""
+    """spark.read.format("intseq").option("width", 4).load(path): (pos, val) of a file or of a folder's files by name."""
 
     @classmethod
     def name(cls):
@@ -86,13 +103,43 @@ def write_ints(values: np.ndarray, path: str, width: int = 4) -> None:
         f.write(values.astype(f"<u{width}").tobytes())
 
 
+def save_ints(df: DataFrame, folder: str, width: int = 4) -> int:
+    """Write (pos, val) as a folder of flat files, a task each, named by their first position; the number of values.
+
+    Files get their names when they are whole, and a task that runs again writes the same ones.
+    """
+    fs, path = _open(folder)
+    fs.create_dir(path, recursive=True)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        own, at = _open(folder)
+        out, first, done, temporary = None, None, 0, f"{at}/_temporary-{TaskContext.get().taskAttemptId()}"
+        for b in batches:
+            if b.num_rows:
+                if out is None:
+                    first, out = b.column(0)[0].as_py(), own.open_output_stream(temporary)
+                values = b.column(1)
+                if pa.types.is_decimal(values.type):
+                    values = pa.array([int(x) for x in values.to_pylist()], pa.uint64())
+                out.write(values.to_numpy(zero_copy_only=False).astype(f"<u{width}").tobytes())
+                done += b.num_rows
+        if out is not None:
+            out.close()
+            own.move(temporary, f"{at}/part-{first:020d}")
+        yield pa.RecordBatch.from_arrays([pa.array([done])], names=["n"])
+
+    return df.select("pos", "val").repartitionByRange(n, "pos").sortWithinPartitions("pos").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def read_patterns(spark: SparkSession, path: str, max_value: int = (1 << 64) - 1) -> DataFrame:
-    """(pid, p) of a text file: a pattern a line, whitespace-separated decimals; pid is the line number.
+    """(pid, p) of a text file: a pattern a line, whitespace-separated decimals; pid is the line number, from 0.
 
-    A line's numbers end at its first bad token; lines without a number give no row. Negative tokens are
+    Lines are numbered by a range sort on where they stand, blank ones and other splits included. A line's numbers end at its first bad token; lines without a number give no row. Negative tokens are
     bad tokens here.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("f"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines, _ = numbered(lines, ["file", "block", "row"], "at")
     tokens = F.filter(F.split("value", r"\s+"), lambda t: t != "")
     good = lambda t: t.rlike(r"^\+?\d+$") & (F.try_to_number(t, F.lit("9" * 38)) <= F.lit(str(max_value)).cast("decimal(38,0)"))
     flags = F.transform(tokens, lambda t: F.coalesce(good(t), F.lit(False)))

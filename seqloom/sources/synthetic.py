@@ -1,38 +1,60 @@
-"""Synthetic repetitive sequences: copies of a Markov base with point mutations."""
+"""Synthetic repetitive sequences: copies of an order-1 source with point mutations.
+
+Nothing is stored: which symbols may follow a symbol, which of them does at a position, and where copies
+mutate are draws from the numbers concerned. A symbol has ``FOLLOWERS`` followers, the r-th with weight
+``r ** -STEEPNESS``. The base is made in stretches of ``STRETCH`` positions, each begun at a drawn symbol,
+so tasks make stretches side by side; inside a task all its stretches take their steps together. One
+transition in ``STRETCH`` is therefore drawn from all symbols.
+"""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SUCCESSORS = 8
-EXPONENT = 1.5
+from ..functions.draws import PRIME, draw, draws
+
+FOLLOWERS = 8
+STEEPNESS = 1.5
+STRETCH = 256
+#: Symbols are written as distinct 32-bit values: multiples of an odd number.
+SPREAD = 2_654_435_761
+#: Salts of the draws, to which seeds are added in steps of ten.
+FOLLOWER, CHOICE, START, WHERE, WHAT = range(5)
+
+
+def thresholds() -> list[int]:
+    """Draws from the r-th of these on choose the follower after the r-th."""
+    weights = [(r + 1) ** -STEEPNESS for r in range(FOLLOWERS)]
+    return [int(sum(weights[: r + 1]) / sum(weights) * PRIME) for r in range(FOLLOWERS - 1)]
+
+
+def _base(spark: SparkSession, sigma: int, length: int, salt: int) -> DataFrame:
+    """(off, sym): the base."""
+    limits = np.array(thresholds())
 
+    def run(batches):
+        for b in batches:
+            begins = b.column(0).to_numpy() * STRETCH
+            at = begins[:, None] + np.arange(STRETCH)
+            choice = np.searchsorted(limits, draws(at, salt + CHOICE), side="right")
+            sym = np.empty_like(at)
+            now = draws(begins, salt + START) % sigma
+            for j in range(STRETCH):  # a step of every stretch
+                sym[:, j] = now
+                now = draws(now * FOLLOWERS + choice[:, j], salt + FOLLOWER) % sigma
+            inside = at < length
+            yield pa.RecordBatch.from_arrays([pa.array(at[inside]), pa.array(sym[inside])], names=["off", "sym"])
 
-def base_sequence(sigma: int, length: int, seed: int = 1) -> np.ndarray:
-    """An order-1 chain in which each symbol has a few successors with falling weights."""
-    rng = np.random.default_rng(seed)
-    after = rng.integers(0, sigma, size=(sigma, SUCCESSORS))
-    weights = np.arange(1, SUCCESSORS + 1, dtype=float) ** -EXPONENT
-    choice = rng.choice(SUCCESSORS, size=length, p=weights / weights.sum())
-    out = np.empty(length, dtype=np.int64)
-    state = int(rng.integers(0, sigma))
-    for i in range(length):
-        out[i] = state
-        state = int(after[state, choice[i]])
-    return out
+    return spark.range((length + STRETCH - 1) // STRETCH).mapInArrow(run, "off long, sym long")
 
 
 def generate(spark: SparkSession, sigma: int, base_len: int, copies: int, mutation: float, seed: int = 1) -> DataFrame:
-    """(pos, val): the base comes from the driver, copies and mutations are made in Spark.
-
-    A position of a copy is mutated with probability ``mutation`` by a hash of (copy, position); the new
-    value may equal the old one.
-    """
-    values = base_sequence(sigma, base_len, seed).tolist()
-    base = spark.createDataFrame(list(enumerate(values)), "off long, base long")
-    rows = base.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long")))) if copies else base.limit(0).withColumn("copy", F.lit(0).cast("long"))
-    draw = F.pmod(F.xxhash64("copy", "off", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    other = F.pmod(F.xxhash64("copy", "off", F.lit(seed + 1)), F.lit(sigma))
-    return rows.select((F.col("copy") * base_len + F.col("off")).alias("pos"), F.when(draw < mutation, other).otherwise(F.col("base")).alias("val"))
+    """(pos, val): copies of the base; each position mutates with probability ``mutation``, maybe to its own symbol."""
+    salt = 10 * seed
+    rows = _base(spark, sigma, base_len if copies else 0, salt).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(copies, 1) - 1).cast("long"))))
+    pos = F.col("copy") * base_len + F.col("off")
+    sym = F.when(draw(pos, salt + WHERE) < int(mutation * PRIME), draw(pos, salt + WHAT) % sigma).otherwise(F.col("sym"))
+    return rows.select(pos.alias("pos"), (sym * SPREAD % (1 << 32)).alias("val"))
