@@ -1,14 +1,18 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
-Vectors are projected to a few random directions, shifted, cut to a grid and numbered along a Hilbert
-curve, once for each of several curves. Spark range-partitions each ordering, so a partition is a key
-block of even size; a query is compared with the blocks around its own, in every ordering, and the
-neighbouring windows' findings are merged and ranked by exact distance on the original vectors.
-
-The window is a share of the ordering (``WINDOW``), so recall doesn't fall as the table grows; on
+Vectors are projected to a few directions, shifted, cut to a grid and numbered along a Hilbert curve, once
+for each of several curves. The curves share one random rotation and take its directions in turn, so none
+sees what another has seen; that finds more than directions drawn for each curve alone, with windows of
+half the size. Spark range-partitions each ordering, so a partition is a key block of even size; a query is
+compared with the blocks around its own, in every ordering, and the neighbouring windows' findings are
+merged and ranked by exact distance on the original vectors.
+
+The window is a share of the ordering (``window``), so recall doesn't fall as the table grows; on
 vectors without any structure the work then grows with queries times rows, as any exact-enough search
-does there, and a smaller share serves clustered data. Ranges of the grid are fitted on at most
-``SAMPLE`` vectors; every vector is indexed.
+does there, and a smaller share serves clustered data. All windows together are ``CURVES * WINDOW`` of the
+rows, below one: less than comparing with every row. Blocks are cut so that a window is a few of them
+(tables of a few thousand rows have wider ones, since a block has 64 rows at least). Ranges of the grid
+are fitted on at most ``SAMPLE`` vectors; every vector is indexed.
 
 Equal vectors are one class that carries the smallest ids it can need, so a vector that half the
 table shares is one point of the index. Rows of a class are cut before the shuffle (a ranked window).
@@ -31,11 +35,13 @@ from pyspark.sql import types as T
 
 from .common import cut, table
 
-CURVES = 8
-DIRECTIONS = 6
-BITS = 10
-WINDOW = 0.2
-BLOCK_ROWS = 2048
+CURVES = 16
+DIRECTIONS = 4
+BITS = 15
+WINDOW = 0.06
+#: Blocks of a window, and rows of a block at most: what a task holds at once.
+WINDOW_BLOCKS = 7
+BLOCK_ROWS = 32_768
 SAMPLE = 10_000
 
 
@@ -72,9 +78,10 @@ class Curves:
     def __init__(self, sample: np.ndarray, dim: int, seed: int = 2):
         rng = np.random.default_rng(seed)
         k = min(DIRECTIONS, dim)
+        turns = np.hstack([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(ceil(CURVES * k / dim))])
         self.bits, self.frames = BITS, []
-        for _ in range(CURVES):
-            turned = np.linalg.qr(rng.normal(size=(dim, k)))[0]
+        for n in range(CURVES):
+            turned = turns[:, n * k : (n + 1) * k]
             seen = sample @ turned
             low, high = np.quantile(seen, [0.001, 0.999], axis=0) if len(seen) else (np.zeros(k), np.ones(k))
             self.frames.append((turned, low, np.where(high > low, high - low, 1.0), rng.random(k) / 2))
@@ -156,11 +163,11 @@ def search(df: DataFrame, is_query, id_col: str = "vec_id", column: str = "embed
             yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, own, dtype=np.int32)), b.column(0), b.column(2)], names=["block", "curve", "c"])
 
     count = classes.count()
-    size = min(BLOCK_ROWS, max(64, count // 24))
+    size = min(BLOCK_ROWS, max(64, ceil(count * window / WINDOW_BLOCKS)))
     ordering = classes.select("c", "v").mapInArrow(keyed, "curve int, key long, c long")
     blocks = cut(ordering.repartitionByRange(max(1, ceil(count * CURVES / size)), "curve", "key", "c").mapInArrow(numbered, "block int, curve int, c long"))
     parts = blocks.agg(F.count_distinct("block")).first()[0]  # as many as the orderings were really cut into
-    reach = ceil(window / 2 * parts / CURVES)
+    reach = max(1, round((window * parts / CURVES - 1) / 2))
 
     placed = blocks.join(classes.select("c", "v"), "c")
     asked = blocks.join(queries.select("c").distinct(), "c").select("c", "curve", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"))
