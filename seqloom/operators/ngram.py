@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw
 from ..plans.order import following
 from ..plans.sequence import Sequence
 
@@ -41,8 +42,8 @@ def brute_force(s: Sequence, patterns: DataFrame) -> DataFrame:
 
 
 def sample_patterns(s: Sequence, m: int, queries: int) -> DataFrame:
-    """(pid, p): ``queries`` substrings of length m at positions drawn by a hash of their number."""
+    """(pid, p): ``queries`` substrings of length m at positions drawn from their numbers (the first 2**31 positions)."""
     if m > s.n:
         raise ValueError("the pattern is longer than the sequence")
-    drawn = s.seq.sparkSession.range(queries).select(F.col("id").alias("pid"), F.pmod(F.xxhash64("id", F.lit(m)), F.lit(s.n - m + 1)).alias("k"))
+    drawn = s.seq.sparkSession.range(queries).select(F.col("id").alias("pid"), (draw(F.col("id"), m) % (s.n - m + 1)).alias("k"))
     return drawn.join(ngrams(s, m), "k").select("pid", "p")

@@ -1,9 +1,10 @@
 """Suffix arrays and longest common prefixes by prefix doubling.
 
-The first ranks come from ``START``-grams in one pass. In a round, only suffixes that still share
-their rank look at the rank ``h`` further on; the pairs are counted, and the counts inside a rank give
-the new ranks, so no global window is needed. Every round's ranks are kept in the shared folder: LCPs
-go down through them.
+The first ranks come from as many symbols as two words hold, packed, in one pass. In a round, only suffixes
+that still share their rank look at the rank ``h`` further on; the pairs are counted, and the counts inside
+a rank give the new ranks, so no global window is needed. Suffixes whose rank is theirs alone are written
+once, when they get it, and never again: a round costs a look-up and a grouping of what is unresolved.
+Every round's ranks stay in the shared folder: LCPs go down through them.
 
 A sequence whose counted length is at most ``LOCAL_SYMBOLS`` is sorted by the same doubling inside one
 task, on arrays: below that size the rounds' shuffles would cost far more than the sorting.
@@ -12,6 +13,7 @@ task, on arrays: below that size the rounds' shuffles would cost far more than t
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,8 @@ from ..plans.lineage import cut
 from ..plans.order import following, prefix_sum
 from ..plans.sequence import Sequence, separated
 
-#: Symbols that the first ranks compare.
-START = 8
+#: Symbols that one packed word holds at most.
+PACKED = 12
 #: About 40 bytes a symbol, and 4 more for every round, in one task.
 LOCAL_SYMBOLS = 6_000_000
 
@@ -37,6 +39,7 @@ class Suffixes:
     seq: DataFrame
     n: int
     levels: list[tuple[int, DataFrame]] = field(default_factory=list)
+    start: int = 1
     lcps: DataFrame | None = None
 
 
@@ -102,35 +105,44 @@ def _local(rows: DataFrame, n: int) -> DataFrame:
     return cut(rows.select("k", "id").coalesce(1).mapInArrow(run, "r long, k long, lcp long"))
 
 
-def suffix_array(seq: DataFrame, n: int, column: str = "id") -> Suffixes:
-    """Suffixes of (k, column) in order; one that is a prefix of another comes first."""
+def suffix_array(seq: DataFrame, n: int, column: str = "id", local: int | None = None) -> Suffixes:
+    """Suffixes of (k, column) in order; one that is a prefix of another comes first.
+
+    Up to ``local`` symbols (LOCAL_SYMBOLS) are sorted in one task, more in distributed rounds.
+    """
     rows = cut(seq.select("k", F.col(column).cast("long").alias("id")))
     if n == 0:
         return Suffixes(rows.select(F.col("k").alias("r"), "k"), rows, 0)
-    if n <= LOCAL_SYMBOLS:
+    if n <= (LOCAL_SYMBOLS if local is None else local):
         sorted_ = _local(rows, n)
         return Suffixes(sorted_.select("r", "k"), rows, n, lcps=sorted_)
-    names = [f"x{j}" for j in range(START)]
-    grams = following(rows, START).select("k", *(F.coalesce(x, F.lit(-1)).alias(x) for x in names))
-    counts, _ = prefix_sum(grams.groupBy(*names).agg(F.count("*").alias("cnt")), names, "cnt", "r")
-    state = cut(grams.join(counts, names).select("k", "r", "cnt"))
-    levels, h = [(START, state.select("k", "r"))], START
-    while not state.where("cnt > 1").isEmpty():
-        further = state.select((F.col("k") - h).alias("k"), F.col("r").alias("r2"))
-        pairs = state.where("cnt > 1").join(further, "k", "left").select("k", "r", F.coalesce("r2", F.lit(-1)).alias("r2"))
+    largest = rows.agg(F.max("id")).first()[0]
+    base = largest + 2  # 0 stands past the end
+    width = max(1, min(PACKED, 62 // base.bit_length()))
+    start = 2 * width
+    symbol = lambda j: F.coalesce(F.col(f"x{j}") + 1, F.lit(0).cast("long"))
+    word = lambda a: reduce(lambda x, j: x * base + symbol(j), range(a + 1, a + width), symbol(a))
+    grams = following(rows, start).select("k", word(0).alias("high"), word(width).alias("low"))
+    counts, _ = prefix_sum(grams.groupBy("high", "low").agg(F.count("*").alias("cnt")), ["high", "low"], "cnt", "r")
+    state = cut(grams.join(counts, ["high", "low"]).select("k", "r", "cnt"))
+    single, open_ = state.where("cnt = 1").select("k", "r"), cut(state.where("cnt > 1").select("k", "r"))
+    levels, h = [(start, state.select("k", "r"))], start
+    while not open_.isEmpty():
+        further = single.unionByName(open_).select((F.col("k") - h).alias("k"), F.col("r").alias("r2"))
+        pairs = open_.join(further, "k", "left").select("k", "r", F.coalesce("r2", F.lit(-1).cast("long")).alias("r2"))
         sizes = pairs.groupBy("r", "r2").agg(F.count("*").alias("cnt"))
         before = F.coalesce(F.sum("cnt").over(Window.partitionBy("r").orderBy("r2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        finer = pairs.join(sizes.withColumn("now", F.col("r") + before), ["r", "r2"]).select("k", F.col("now").alias("r"), "cnt")
-        state = cut(state.where("cnt = 1").unionByName(finer))
+        finer = cut(pairs.join(sizes.withColumn("now", F.col("r") + before), ["r", "r2"]).select("k", F.col("now").alias("r"), "cnt"))
+        levels.append((2 * h, single.unionByName(finer.select("k", "r"))))
+        single, open_ = single.unionByName(finer.where("cnt = 1").select("k", "r")), finer.where("cnt > 1").select("k", "r")
         h *= 2
-        levels.append((h, state.select("k", "r")))
-    return Suffixes(state.select("r", "k"), rows, n, levels)
+    return Suffixes(single.select("r", "k"), rows, n, levels, start=start)
 
 
-def generalized(s: Sequence) -> tuple[Suffixes, Sequence]:
+def generalized(s: Sequence, local: int | None = None) -> tuple[Suffixes, Sequence]:
     """Suffixes of the groups of a sequence, with separators in group order below every symbol."""
     flat = separated(s)
-    return suffix_array(flat.seq, flat.n), flat
+    return suffix_array(flat.seq, flat.n, local=local), flat
 
 
 def lcp(x: Suffixes) -> DataFrame:
@@ -149,11 +161,11 @@ def lcp(x: Suffixes) -> DataFrame:
         state = state.select("r", "k", "q", (F.col("l") + F.when(F.col("_rp") == F.col("_rq"), h).otherwise(0)).alias("l"))
         if i % 4 == 3:
             state = cut(state)
-    grams = following(x.seq, START).select("k", F.array(*(f"x{j}" for j in range(START))).alias("g"))
+    grams = following(x.seq, x.start).select("k", F.array(*(f"x{j}" for j in range(x.start))).alias("g"))
     left, right = grams.select(F.col("k").alias("_p"), F.col("g").alias("_gp")), grams.select(F.col("k").alias("_q"), F.col("g").alias("_gq"))
     state = state.join(left, F.col("k") + F.col("l") == F.col("_p"), "left").join(right, F.col("q") + F.col("l") == F.col("_q"), "left")
     same = F.zip_with("_gp", "_gq", lambda a, b: F.coalesce(a == b, F.lit(False)))
-    more = F.when(F.col("_gp").isNull() | F.col("_gq").isNull(), 0).otherwise(F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.lit(START)))
+    more = F.when(F.col("_gp").isNull() | F.col("_gq").isNull(), 0).otherwise(F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.lit(x.start)))
     return state.select("r", "k", F.when(F.col("q").isNull(), 0).otherwise(F.col("l") + more).cast("long").alias("lcp"))
 
 

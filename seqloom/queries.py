@@ -7,17 +7,23 @@ Sequences: ``ev`` is events in order of event_id (symbols: event types), ``li``
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.draws import PRIME, draw_sql
 from .operators import bwt, ngram, runs, search, stats, suffix
 from .plans import index
-from .plans.lineage import cut
+from .plans.lineage import cut, shared_dir
 from .plans.order import numbered
-from .plans.sequence import Sequence, from_table, separated
-from .sources.synthetic import generate
+from .plans.sequence import Sequence, from_table, pattern_ids, separated
+from .sources.intseq import WIDTHS, read_ints, read_patterns, save_ints, write_counts
+from .sources.synthetic import CHOICE, FOLLOWER, FOLLOWERS, SPREAD, START, STRETCH, WHAT, WHERE, generate, thresholds
+
+#: Alphabet, base length, copies and mutation probability of the synthetic sequence.
+SYNTHETIC = (60, 900, 6, 0.02)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,6 +31,11 @@ ORACLE_SQL: dict[str, str] = {}
 _made: dict[tuple, object] = {}
 
 
+def forget() -> None:
+    """Let go of all shared tables, so that the next queries build their own."""
+    _made.clear()
+
+
 def _once(name: str, spark: SparkSession, sf_dir: str, make):
     """Tables that several queries share are built once for each session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
@@ -40,7 +51,7 @@ def _sequence(name: str, spark: SparkSession, sf_dir: str) -> Sequence:
         "li": lambda: from_table(read("lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "l_partkey"),
         "usr": lambda: from_table(read("events"), ["ts", "event_id"], "event_type", group="user_id"),
         "docs": lambda: from_table(read("documents").select("doc_id", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")).alias("pos", "word")), ["pos"], "word", group="doc_id"),
-        "syn": lambda: from_table(generate(spark, 1000, 5000, 20, 0.01), ["pos"], "val"),
+        "syn": lambda: from_table(generate(spark, *SYNTHETIC), ["pos"], "val"),
     }[name]
     return _once(f"seq {name}", spark, sf_dir, make)
 
@@ -158,6 +169,46 @@ _add("gsa_usr", lambda sp, d: _placed("usr", sp, d), _sql("usr", _GSA, "SELECT r
 _add("glcp_usr", lambda sp, d: suffix.lcp(_generalized("usr", sp, d)[0]).select("r", "lcp"), _sql("usr", _GSA, "n AS (SELECT r, l AS a, lag(l) OVER (ORDER BY r) AS b FROM gs)", f"SELECT r, CASE WHEN b IS NULL THEN 0 ELSE {_LCP} END AS lcp FROM n"))
 _add("gsa_docs", lambda sp, d: _placed("docs", sp, d))
 
+
+def _rounds(name: str, spark: SparkSession, sf_dir: str) -> suffix.Suffixes:
+    """The same array by distributed rounds, however short the sequence is."""
+
+    def make():
+        s = _sequence(name, spark, sf_dir)
+        return suffix.generalized(s, local=0)[0] if s.grouped else suffix.suffix_array(s.seq, s.n, local=0)
+
+    return _once(f"rounds {name}", spark, sf_dir, make)
+
+
+_LCP_SQL = f"SELECT r, k, CASE WHEN b IS NULL THEN 0 ELSE {_LCP} END AS lcp FROM n"
+_add("sa_li", lambda sp, d: _suffixes("li", sp, d).sa, _sql("li", _SA, "SELECT r, k FROM sa"))
+_add("lcp_li", lambda sp, d: suffix.lcp(_suffixes("li", sp, d)), _sql("li", _SA, "n AS (SELECT r, k, l AS a, lag(l) OVER (ORDER BY r) AS b FROM sa)", _LCP_SQL))
+_add("sa_rounds_ev", lambda sp, d: _rounds("ev", sp, d).sa, _sql("ev", _SA, "SELECT r, k FROM sa"))
+_add("sa_rounds_li", lambda sp, d: _rounds("li", sp, d).sa, _sql("li", _SA, "SELECT r, k FROM sa"))
+_add("lcp_rounds_ev", lambda sp, d: suffix.lcp(_rounds("ev", sp, d)), _sql("ev", _SA, "n AS (SELECT r, k, l AS a, lag(l) OVER (ORDER BY r) AS b FROM sa)", _LCP_SQL))
+_add("lcp_rounds_li", lambda sp, d: suffix.lcp(_rounds("li", sp, d)), _sql("li", _SA, "n AS (SELECT r, k, l AS a, lag(l) OVER (ORDER BY r) AS b FROM sa)", _LCP_SQL))
+_add("glcp_rounds_usr", lambda sp, d: suffix.lcp(_rounds("usr", sp, d)).select("r", "lcp"), _sql("usr", _GSA, "n AS (SELECT r, l AS a, lag(l) OVER (ORDER BY r) AS b FROM gs)", f"SELECT r, CASE WHEN b IS NULL THEN 0 ELSE {_LCP} END AS lcp FROM n"))
+
+
+def _heads(sp, d):
+    """For each pair of words: how many suffixes of documents begin with it, and the first and last of their ranks."""
+    s, x = _sequence("docs", sp, d), _generalized("docs", sp, d)[0]
+    pairs = stats.pairs(s).join(s.seq.select("k", "grp"), "k")
+    first, n_groups = numbered(s.seq.groupBy("grp").agg(F.min("k").alias("first")), ["grp"], "g")
+    placed = pairs.join(first.select("grp", "g"), "grp").select((F.col("k") + F.col("g")).alias("k"), "a", "b")
+    return x.sa.join(placed, "k").where("b is not null").groupBy("a", "b").agg(F.count("*").alias("cnt"), F.min("r").alias("low"), F.max("r").alias("high"))
+
+
+_add(
+    "gsa_docs_heads",
+    _heads,
+    r"WITH w AS (SELECT doc_id AS grp, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS l FROM documents), raw AS (SELECT grp, unnest(l) AS val, unnest(range(len(l))) AS pos FROM w),"
+    " d AS (SELECT val, row_number() OVER (ORDER BY encode(val)) AS id FROM (SELECT DISTINCT val FROM raw)), t AS (SELECT grp, pos, id FROM raw JOIN d USING (val)),"
+    " p AS (SELECT id AS a, lead(id) OVER (PARTITION BY grp ORDER BY pos) AS b FROM t), c AS (SELECT a, b, count(*) AS cnt FROM p GROUP BY a, b), g AS (SELECT count(*) AS n FROM w WHERE len(l) > 0),"
+    " o AS (SELECT a, b, cnt, (SELECT n FROM g) + sum(cnt) OVER (ORDER BY a, b NULLS FIRST) - cnt AS low FROM c)"
+    " SELECT a, b, cnt, CAST(low AS BIGINT) AS low, CAST(low + cnt - 1 AS BIGINT) AS high FROM o WHERE b IS NOT NULL",
+)
+
 _add("runs_bwt_ev", lambda sp, d: _built("ev", sp, d).index.bwt_runs.select("c", "start", "len", "cum"), _sql("ev", _S, _SA_S, _BWT_S, _runs_sql("ls", "l"), "SELECT c, start, len, CAST(coalesce(sum(len) OVER (PARTITION BY c ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cum FROM rn"))
 _add("runlen_psi_ev", lambda sp, d: _built("ev", sp, d).index.psi_runs.groupBy("len").agg(F.count("*").alias("n_runs")), _sql("ev", _S, _SA_S, _PSI, _runs_sql("ps", "p"), "SELECT len, count(*) AS n_runs FROM rn GROUP BY len"))
 _add("run_totals_ev", lambda sp, d: runs.totals(_built("ev", sp, d).index.bwt_runs), _sql("ev", _S, _SA_S, _BWT_S, _runs_sql("ls", "l"), "SELECT c, count(*) AS n_runs, CAST(sum(len) AS BIGINT) AS total FROM rn GROUP BY c"))
@@ -210,15 +261,111 @@ def _grouped(sp, d):
 _add("count_grouped_usr_m3", _grouped, _sql("usr", _gram_sql(3)))
 
 
-def _agree(sp, d):
-    plain = _plain("ev", sp, d)
-    made = _built("ev", sp, d)
-    s = made.sequence
-    patterns = index.perturbed(ngram.sample_patterns(s, 5, 300), s.sigma)
-    return index.disagreements(made, plain[0], patterns).agg(F.count("*").alias("mismatches"))
+#: Every so many positions begin a pattern of the agreement check.
+EVERY = 211
+
+
+def _agree(sp, d, lengths=range(1, 9)):
+    """(m, p, brute, order1, plain, joined): patterns from the sequence, each third with its last symbol replaced."""
+    made, plain = _built("ev", sp, d), _plain("ev", sp, d)[0]
+    s, out = made.sequence, None
+    for m in lengths:
+        rows = ngram.ngrams(s, m).where(F.col("k") % EVERY == 0)
+        last = F.when(F.expr(f"k div {EVERY} % 3 = 0"), F.element_at("p", -1) % s.sigma + 1).otherwise(F.element_at("p", -1))
+        own = rows.select(F.concat(F.slice("p", 1, m - 1), F.array(last)).alias("p")).distinct().select(F.array_join("p", "-").alias("pid"), "p")
+        own = cut(own)
+        found = ngram.brute_force(s, own).withColumnRenamed("n_occ", "brute")
+        for name, x, how in (("order1", made.index, True), ("plain", plain, True), ("joined", made.index, False)):
+            found = found.join(search.count(x, own, how).withColumnRenamed("n_occ", name), "pid")
+        found = found.select(F.lit(m).alias("m"), F.col("pid").alias("p"), "brute", "order1", "plain", "joined")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _agree_sql(lengths) -> str:
+    every, parts = [], []
+    for m in lengths:
+        names = ", ".join(f"lead(id, {j}) OVER (ORDER BY k) AS x{j}" for j in range(m))
+        every.append(f"w{m} AS (SELECT k, {names} FROM t), g{m} AS (SELECT concat_ws('-', {', '.join(f'x{j}' for j in range(m))}) AS p, count(*) AS n FROM w{m} WHERE x{m - 1} IS NOT NULL GROUP BY 1)")
+        head = "".join(f"x{j} || '-' || " for j in range(m - 1))
+        own = f"SELECT DISTINCT {head}CASE WHEN k // {EVERY} % 3 = 0 THEN x{m - 1} % (SELECT count(*) FROM d) + 1 ELSE x{m - 1} END AS p FROM w{m} WHERE k % {EVERY} = 0 AND x{m - 1} IS NOT NULL"
+        parts.append(f"SELECT {m} AS m, CAST(o.p AS VARCHAR) AS p, coalesce(n, 0) AS brute, coalesce(n, 0) AS order1, coalesce(n, 0) AS plain, coalesce(n, 0) AS joined FROM ({own}) o LEFT JOIN g{m} ON CAST(o.p AS VARCHAR) = g{m}.p")
+    return _sql("ev", *every, " UNION ALL ".join(parts))
+
+
+_add("bench_agree_ev", _agree, _agree_sql(range(1, 9)))
+
+
+def _sampled(m: int) -> Query:
+    def run(sp, d):
+        s = _sequence("ev", sp, d)
+        found = search.count(_built("ev", sp, d).index, cut(ngram.sample_patterns(s, m, 500)))
+        return found.select("pid", "n_occ")
+
+    return run
+
+
+def _sampled_sql(m: int) -> str:
+    word = f"array_to_string(list(id) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING), '-')"
+    return _sql("ev", f"w AS (SELECT k, {word} AS p FROM t), q AS (SELECT pid, {draw_sql('pid', m)} % ((SELECT count(*) FROM t) - {m} + 1) AS k FROM (SELECT unnest(range(500)) AS pid)), g AS (SELECT p, count(*) AS n_occ FROM w WHERE k <= (SELECT max(k) FROM t) - {m} + 1 GROUP BY p)", "SELECT pid, n_occ FROM q JOIN w USING (k) JOIN g USING (p)")
+
+
+for _m in (1, 8, 16, 32, 64):
+    _add(f"sampled_patterns_ev_m{_m}", _sampled(_m), _sampled_sql(_m))
+
 
+def _generated(sp, d):
+    return generate(sp, *SYNTHETIC)
 
-_add("bench_agree_ev", _agree, "SELECT CAST(0 AS BIGINT) AS mismatches")
+
+def _generated_sql() -> str:
+    sigma, length, copies, mutation = SYNTHETIC
+    salt = 10
+    choice = " + ".join(f"({draw_sql('place', salt + CHOICE)} >= {x})::BIGINT" for x in thresholds())
+    pos = f"(c.copy * {length} + b.place)"
+    sym = f"CASE WHEN {draw_sql(pos, salt + WHERE)} < {int(mutation * PRIME)} THEN {draw_sql(pos, salt + WHAT)} % {sigma} ELSE b.sym END"
+    return (
+        f"WITH RECURSIVE b(place, sym) AS (SELECT n * {STRETCH}, {draw_sql(f'n * {STRETCH}', salt + START)} % {sigma} FROM (SELECT unnest(range({-(-length // STRETCH)})) AS n)"
+        f" UNION ALL SELECT place + 1, {draw_sql(f'(sym * {FOLLOWERS} + {choice})', salt + FOLLOWER)} % {sigma} FROM b WHERE place + 1 < {length} AND (place + 1) % {STRETCH} <> 0)"
+        f" SELECT {pos} AS pos, ({sym}) * {SPREAD} % {1 << 32} AS val FROM b, (SELECT unnest(range({copies})) AS copy) c"
+    )
+
+
+_add("generated_syn", _generated, _generated_sql())
+
+
+def _scanned(width: int) -> Query:
+    """lineitem's part keys written as flat files, and read back."""
+
+    def run(sp, d):
+        folder = f"{shared_dir(sp)}/ints-{uuid.uuid4().hex}"
+        own = _sequence("li", sp, d)
+        values = own.seq.join(own.dict, "id").select(F.col("k").alias("pos"), (F.col("val") % (1 << min(8 * width, 62))).alias("val"))
+        save_ints(values, folder, width)
+        return read_ints(sp, folder, width).select("pos", F.col("val").cast("long").alias("val"))
+
+    return run
+
+
+for _w in WIDTHS:
+    _add(f"scan_ints_w{_w}_li", _scanned(_w), _sql("li", f"SELECT k AS pos, val % {1 << min(8 * _w, 62)} AS val FROM raw"))
+
+
+def _stored(sp, d):
+    """(line, n_occ): an index stored and loaded, patterns of raw values from a text file, counts to a text file and back."""
+    folder = f"{shared_dir(sp)}/store-{uuid.uuid4().hex}"
+    s = _sequence("li", sp, d)
+    index.save(_built("li", sp, d), f"{folder}/index")
+    loaded, words = index.load(sp, f"{folder}/index")
+    pairs = stats.bigrams(s).join(s.dict.toDF("x", "a"), "a").join(s.dict.toDF("y", "b"), "b")
+    pairs.orderBy("x", "y").select(F.concat_ws(" ", "x", F.col("y") + F.when(F.col("x") % 5 == 0, 10_000_000).otherwise(0)).alias("value")).coalesce(1).write.text(f"{folder}/patterns")
+    write_counts(index.count_values(loaded, words, read_patterns(sp, f"{folder}/patterns")), f"{folder}/counts")
+    back = sp.read.text(f"{folder}/counts").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return numbered(back, ["file", "block", "row"], "line")[0].select("line", F.col("value").cast("long").alias("n_occ"))
+
+
+_add("stored_counts_li", _stored, _sql("li", _PAIRS, "v AS (SELECT x.val AS x, y.val AS y, cnt FROM big JOIN d x ON a = x.id JOIN d y ON b = y.id)", "SELECT row_number() OVER (ORDER BY x, y) - 1 AS line, CASE WHEN x % 5 = 0 THEN 0 ELSE cnt END AS n_occ FROM v"))
+_add("id_of_ev", lambda sp, d: pattern_ids(sp.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").alias("pid"), F.array("r_name").alias("p")).unionByName(_sequence("ev", sp, d).dict.select((F.col("id") + 100).cast("int").alias("pid"), F.array("val").alias("p"))), _sequence("ev", sp, d).dict).select("pid", F.col("p")[0].alias("id")), _sql("ev", "q AS (SELECT r_regionkey AS pid, r_name AS val FROM region UNION ALL SELECT id + 100, val FROM d)", "SELECT CAST(pid AS INTEGER) AS pid, coalesce(id, 0) AS id FROM q LEFT JOIN d USING (val)"))
 
 
 def _ef(n: str, u: str) -> str:
@@ -237,9 +384,66 @@ _add(
     lambda sp, d: index.size_report(_built("ev", sp, d)).where("form = 'order-1 elias-fano'").select("form", "bytes"),
     _sizes_sql(f"SELECT 'order-1 elias-fano' AS form, CAST(8 * sig + 8 * (sig + 2) + 8 * nb + 8 * (ke + 1) + {_ef('r', 'ke * n')} + {_ef('r', 'n')} + {_ef('rp', '(sig + 1) * n')} + {_ef('rp', 'n')} AS BIGINT) AS bytes FROM v"),
 )
-_add("size_forms_ev", lambda sp, d: index.size_report(_built("ev", sp, d), _plain("ev", sp, d)))
-_add("bench_report_ev", lambda sp, d: index.bench_report(_built("ev", sp, d), _plain("ev", sp, d)))
-_add("build_report_syn", lambda sp, d: index.build_report(_built("syn", sp, d)))
+def _huffman_sql(name: str, counts: str) -> str:
+    """name(cost): merges of the two smallest of a sorted list of counts (column f) until one is left."""
+    return f"{name}_m(l, cost) AS (SELECT list(CAST(f AS BIGINT) ORDER BY f), CAST(0 AS BIGINT) FROM ({counts}) UNION ALL SELECT list_sort(list_append(l[3:], l[1] + l[2])), cost + l[1] + l[2] FROM {name}_m WHERE len(l) > 1), {name} AS (SELECT max(cost) AS cost FROM {name}_m)"
+
+
+def _explicit_sql(n: str, runs_of: str, symbols: str) -> str:
+    """Bytes of explicit run lists; a symbol of 64 runs or more has a jump table."""
+    shift = f"(SELECT min(q) FROM (SELECT unnest(range(64)) AS q) WHERE ({n} >> q) <= f // 8)"
+    jump = f"(SELECT coalesce(sum(CASE WHEN f >= 64 THEN ({n} >> CAST({shift} AS INT)) + 2 ELSE 0 END), 0) FROM {runs_of})"
+    return f"16 * ({symbols} + 1) + 8 * ((SELECT sum(f) FROM {runs_of}) + {symbols}) + {symbols} + 4 * {jump}"
+
+
+def _tree_sql(cost: str, symbols: str, distinct: str) -> str:
+    return f"(72 * ({cost} // 512 + 1) + 9 * {symbols} + 8 * ({distinct} - 1) + 16 * {distinct})"
+
+
+def _forms_sql() -> str:
+    by = lambda name, table, c: f"{name} AS (SELECT c, count(*) AS f FROM (SELECT {c} AS c, lag({c}) OVER (ORDER BY i) AS q FROM {table}) WHERE q IS DISTINCT FROM c GROUP BY c)"
+    closed = "lt AS (SELECT i, coalesce(t.id, 0) AS l FROM (SELECT r + 1 AS i, k FROM sa UNION ALL SELECT 0, (SELECT max(k) + 1 FROM t)) z LEFT JOIN t ON t.k = z.k - 1)"
+    value = "v AS (SELECT (SELECT count(*) FROM t) AS n, (SELECT count(*) FROM d) AS sig, (SELECT count(*) FROM succ) AS nb, (SELECT max(rk) + 1 FROM succ) AS ke, (SELECT sum(f) FROM rb) AS r, (SELECT sum(f) FROM rp) AS p, (SELECT sum(f) FROM rt) AS q, (SELECT count(*) FROM rb) AS db, (SELECT count(*) FROM rt) AS dt, (SELECT cost FROM hb) AS hb, (SELECT cost FROM hbr) AS hbr, (SELECT cost FROM ht) AS ht, (SELECT cost FROM htr) AS htr)"
+    shared, psi = "8 * sig + 8 * (sig + 2) + 8 * nb + 8 * (ke + 1)", f"{_ef('p', '(sig + 1) * n')} + {_ef('p', 'n')}"
+    ef = lambda r, u: f"{_ef(r, u)}"
+    rows = [
+        ("order-1 explicit", f"{shared} + {_explicit_sql('n', 'rb', 'ke')} + {_explicit_sql('n', 'rp', '(sig + 1)')}", "hb / n"),
+        ("order-1 elias-fano", f"{shared} + {ef('r', 'ke * n')} + {ef('r', 'n')} + {psi}", "hb / n"),
+        ("order-1 huffman", f"{shared} + {_tree_sql('hb', 'ke', 'db')} + {psi}", "hb / n"),
+        ("order-1 rl-huffman", f"{shared} + {_tree_sql('hbr', 'ke', 'db')} + {ef('r', 'n')} + {ef('r + 1', 'n + 1')} + 4 * (ke + 1) + {psi}", "hbr / r"),
+        ("plain explicit", f"8 * (sig + 2) + {_explicit_sql('(n + 1)', 'rt', '(sig + 1)')}", "ht / (n + 1)"),
+        ("plain elias-fano", f"8 * (sig + 2) + {ef('q', '(sig + 1) * (n + 1)')} + {ef('q', '(n + 1)')}", "ht / (n + 1)"),
+        ("plain huffman", f"8 * (sig + 2) + {_tree_sql('ht', '(sig + 1)', 'dt')}", "ht / (n + 1)"),
+        ("plain rl-huffman", f"8 * (sig + 2) + {_tree_sql('htr', '(sig + 1)', 'dt')} + {ef('q', '(n + 1)')} + {ef('q + 1', '(n + 2)')} + 4 * (sig + 2)", "htr / q"),
+    ]
+    forms = " UNION ALL ".join(f"SELECT '{name}' AS form, CAST({size} AS BIGINT) AS bytes, round({depth}, 6) AS depth FROM v" for name, size, depth in rows)
+    parts = [_S, _SA_S, _BWT_S, _PSI, _SA, closed, by("rb", "ls", "l"), by("rp", "ps", "p"), by("rt", "lt", "l")]
+    parts += [_huffman_sql("hb", "SELECT count(*) AS f FROM ls GROUP BY l"), _huffman_sql("hbr", "SELECT f FROM rb"), _huffman_sql("ht", "SELECT count(*) AS f FROM lt GROUP BY l"), _huffman_sql("htr", "SELECT f FROM rt"), value]
+    return _sql("ev", *parts, f"SELECT form, bytes, depth, printf('%.2f MB', bytes / 1048576.0) AS shown FROM ({forms})").replace("WITH raw", "WITH RECURSIVE raw", 1)
+
+
+_add("size_forms_ev", lambda sp, d: index.size_report(_built("ev", sp, d), _plain("ev", sp, d)).withColumn("depth", F.round("depth", 6)), _forms_sql())
+
+_REPORT = _SUCC + ", c AS (SELECT count(*) AS c FROM t GROUP BY id), m AS (SELECT (SELECT count(*) FROM t) AS n, (SELECT count(*) FROM d) AS sigma, (SELECT count(*) FROM succ) AS nb, (SELECT max(rk) + 1 FROM succ) AS ke)"
+
+
+def _run_count(table: str, c: str) -> str:
+    return f"(SELECT count(*) FROM (SELECT {c} AS c, lag({c}) OVER (ORDER BY i) AS q FROM {table}) WHERE q IS DISTINCT FROM c)"
+
+
+_add(
+    "bench_report_ev",
+    lambda sp, d: index.bench_report(_built("ev", sp, d), _plain("ev", sp, d)).withColumn("value", F.round("value", 6)),
+    _sql(
+        "ev", _S, _SA_S, _BWT_S, _PSI, _SA, "lt AS (SELECT i, coalesce(t.id, 0) AS l FROM (SELECT r + 1 AS i, k FROM sa UNION ALL SELECT 0, (SELECT max(k) + 1 FROM t)) z LEFT JOIN t ON t.k = z.k - 1)", "c AS (SELECT count(*) AS c FROM t GROUP BY id)",
+        "SELECT unnest(['n', 'sigma', 'h0', 'kE', 'bigrams', 'runs_bwt_s', 'runs_psi', 'runs_bwt_t']) AS metric, unnest([CAST((SELECT count(*) FROM t) AS DOUBLE), (SELECT count(*) FROM d), (SELECT round(sum(-(c / n) * log2(c / n)), 6) FROM c, (SELECT count(*) AS n FROM t)), (SELECT max(rk) + 1 FROM succ), (SELECT count(*) FROM succ), " + ", ".join((_run_count("ls", "l"), _run_count("ps", "p"), _run_count("lt", "l"))) + "]) AS value",
+    ),
+)
+_add(
+    "build_report_ev",
+    lambda sp, d: index.build_report(_built("ev", sp, d)),
+    _forms_sql().replace("SELECT form, bytes, depth, printf('%.2f MB', bytes / 1048576.0) AS shown FROM (", "SELECT v.n, v.sig AS sigma, v.ke AS \"kE\", CAST(v.r AS BIGINT) AS bwt_runs, CAST(v.p AS BIGINT) AS psi_runs, z.bytes FROM v, (", 1) + " z WHERE z.form = 'order-1 rl-huffman'",
+)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
