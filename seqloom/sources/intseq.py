@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,15 @@ from ..plans.sequence import Sequence, from_table
 
 WIDTHS = (1, 2, 4, 8)
 SPLIT_BYTES = 32_000_000
+#: Values of a written file.
+FILE_VALUES = 8_000_000
 _log = logging.getLogger(__name__)
 
 
 def _open(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if re.match(r"[A-Za-z][A-Za-z0-9+.-]+:/", path) else (fs.LocalFileSystem(), path)
 
 
 class _Range(InputPartition):
@@ -103,33 +106,42 @@ def write_ints(values: np.ndarray, path: str, width: int = 4) -> None:
         f.write(values.astype(f"<u{width}").tobytes())
 
 
-def save_ints(df: DataFrame, folder: str, width: int = 4) -> int:
-    """Write (pos, val) as a folder of flat files, a task each, named by their first position; the number of values.
+def save_ints(df: DataFrame, folder: str, width: int = 4, file_values: int = FILE_VALUES) -> int:
+    """Write (pos, val) as a folder of flat files of ``file_values`` values each, in place of what it held; the number of values.
 
     Files get their names when they are whole, and a task that runs again writes the same ones.
     """
     fs, path = _open(folder)
     fs.create_dir(path, recursive=True)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fs.delete_dir_contents(path)
 
     def run(batches):
         own, at = _open(folder)
-        out, first, done, temporary = None, None, 0, f"{at}/_temporary-{TaskContext.get().taskAttemptId()}"
+        out, now, done, temporary = None, None, 0, f"{at}/_temporary-{TaskContext.get().taskAttemptId()}"
+
+        def close():
+            if out is not None:
+                out.close()
+                own.move(temporary, f"{at}/part-{now:012d}")
+
         for b in batches:
-            if b.num_rows:
-                if out is None:
-                    first, out = b.column(0)[0].as_py(), own.open_output_stream(temporary)
-                values = b.column(1)
+            files = b.column(0).to_numpy()
+            ends = [*(np.flatnonzero(np.diff(files)) + 1).tolist(), len(files)] if len(files) else []
+            for begin, end in zip([0, *ends], ends):
+                if files[begin] != now:
+                    close()
+                    now, out = int(files[begin]), own.open_output_stream(temporary)
+                values = b.column(1).slice(begin, end - begin)
                 if pa.types.is_decimal(values.type):
                     values = pa.array([int(x) for x in values.to_pylist()], pa.uint64())
                 out.write(values.to_numpy(zero_copy_only=False).astype(f"<u{width}").tobytes())
-                done += b.num_rows
-        if out is not None:
-            out.close()
-            own.move(temporary, f"{at}/part-{first:020d}")
+            done += b.num_rows
+        close()
         yield pa.RecordBatch.from_arrays([pa.array([done])], names=["n"])
 
-    return df.select("pos", "val").repartitionByRange(n, "pos").sortWithinPartitions("pos").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    rows = df.select(F.expr(f"pos div {file_values}").alias("file"), "pos", "val")
+    dealt = rows.repartition("file").sortWithinPartitions("file", "pos").select("file", "val")
+    return dealt.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def read_patterns(spark: SparkSession, path: str, max_value: int = (1 << 64) - 1) -> DataFrame:

@@ -8,7 +8,7 @@ from seqloom import queries
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-SOME = ("dict_ev", "succ_rank_ev", "encode_s_ev", "bwt_s_ev", "lcp_ev", "glcp_usr", "runs_bwt_ev", "count_order1_ev_m3", "size_report_ev")
+SOME = ("dict_ev", "succ_rank_ev", "encode_s_ev", "bwt_s_ev", "lcp_ev", "glcp_usr", "runs_bwt_ev", "count_order1_ev_m3", "size_report_ev", "size_forms_ev", "bench_report_ev", "build_report_ev", "generated_syn", "id_of_ev", "bench_agree_ev", "sampled_patterns_ev_m16", "lcp_rounds_ev", "glcp_rounds_usr", "gsa_docs_heads")
 
 
 def rows(frame):

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -53,6 +54,18 @@ def test_distributed_sorting(spark, monkeypatch, raw):
     assert [r["lcp"] for r in suffix.lcp(x).orderBy("r").collect()] == naive.lcp(naive.densify(raw))
 
 
+def test_distributed_sorting_of_a_long_sequence(spark):
+    """120,000 symbols with long repeats: the rounds against sorting in one task."""
+    draw = np.random.default_rng(4)
+    base = draw.integers(1, 40, 30_000)
+    raw = np.concatenate((base, base, draw.integers(1, 40, 15_000), base, base[:15_000]))
+    df = spark.createDataFrame(pa.table({"k": np.arange(len(raw)), "id": raw}))
+    x = suffix.suffix_array(df, len(raw), local=0)
+    sa, common = suffix.sort_suffixes(raw)
+    assert x.levels and x.sa.orderBy("r").toArrow()["k"].to_numpy().tolist() == sa.tolist()
+    assert suffix.lcp(x).orderBy("r").toArrow()["lcp"].to_numpy().tolist() == common.tolist()
+
+
 @pytest.mark.parametrize("raw", CASES.values(), ids=CASES.keys())
 def test_indexes_agree_with_brute_force(spark, raw):
     s = sequence(spark, raw)

@@ -1,7 +1,15 @@
+import os
+
 import numpy as np
 import pytest
 
+from collections import Counter
+
+import duckdb
+from pyspark.sql import functions as F
+
 from seqloom import cli
+from seqloom.functions import draws
 from seqloom.plans import index
 from seqloom.plans.sequence import SequenceError, from_table
 from seqloom.sources import intseq
@@ -35,6 +43,31 @@ def test_largest_value(spark, tmp_path):
         intseq.read_ints(spark, path, 3).collect()
 
 
+def test_folders(spark, tmp_path):
+    """Flat files written by tasks and read as one sequence; a task that runs again writes the same file."""
+    values = [(i * 7) % 1000 for i in range(5000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "pos long, val long").repartition(3)
+    for width in (2, 8):
+        for _ in range(2):
+            assert intseq.save_ints(df, str(tmp_path / f"w{width}"), width, 1300) == 5000
+        rows = intseq.read_ints(spark, f"file:{tmp_path}/w{width}", width).orderBy("pos").collect()
+        assert [(r["pos"], int(r["val"])) for r in rows] == list(enumerate(values))
+        files = sorted(os.listdir(tmp_path / f"w{width}"))
+        assert len(files) == 4 and all(f.startswith("part-") for f in files)
+    assert intseq.save_ints(df.limit(0), str(tmp_path / "none")) == 0 and intseq.read_ints(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_patterns_are_known_by_their_line(spark, tmp_path):
+    lines = ["" if i % 7 == 3 else f"{i} {i + 1}" for i in range(3000)]
+    (tmp_path / "p.txt").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = {r["pid"]: [int(v) for v in r["p"]] for r in intseq.read_patterns(spark, str(tmp_path / "p.txt")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {i: [i, i + 1] for i in range(3000) if i % 7 != 3}
+
+
 def test_patterns(spark, tmp_path):
     (tmp_path / "p.txt").write_text("1 2\n\n1 2 x 3\nx\n  7\t8 \n-1 2\n18446744073709551615\n")
     got = [[int(v) for v in r["p"]] for r in intseq.read_patterns(spark, str(tmp_path / "p.txt")).orderBy("pid").collect()]
@@ -62,6 +95,53 @@ def test_generator(spark):
     assert all(exact[p] == exact[p + 40] for p in range(80))
 
 
+def test_generated_walk(spark):
+    """Every symbol has few followers inside a stretch, the first by far the most frequent."""
+    from seqloom.sources.synthetic import FOLLOWERS, STRETCH
+
+    rows = [r["val"] for r in generate(spark, 20, 5000, 1, 0.0).orderBy("pos").collect()]
+    after = {}
+    for i, (a, b) in enumerate(zip(rows, rows[1:])):
+        if (i + 1) % STRETCH:
+            after.setdefault(a, Counter())[b] += 1
+    assert len(set(rows)) <= 20 and max(len(c) for c in after.values()) <= FOLLOWERS
+    most = sum(c.most_common(1)[0][1] for c in after.values()) / sum(c.total() for c in after.values())
+    assert 0.45 < most < 0.8
+    changed = [r["val"] for r in generate(spark, 20, 5000, 2, 0.3).orderBy("pos").collect()]
+    assert 0.2 < sum(a != b for a, b in zip(changed, changed[5000:])) / 5000 < 0.6
+
+
+def test_draws_agree(spark):
+    x = np.array([0, 1, 2, 10**9, 2**40])
+    got = [r[0] for r in spark.createDataFrame([(int(v),) for v in x], "x long").select(draws.draw(F.col("x"), 3)).collect()]
+    assert got == draws.draws(x, 3).tolist() == [duckdb.sql(f"select {draws.draw_sql(str(v), 3)}").fetchall()[0][0] for v in x.tolist()]
+
+
+def test_order_of_equal_rows_across_batches(spark):
+    from seqloom.plans.order import OrderError, numbered
+
+    rows = spark.createDataFrame([(None, 1), (None, 2), (3, 1), (3, 2)], "a long, b long")
+    assert numbered(rows, ["a", "b"], check=True)[1] == 4
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        for twice in ((None, 2), (3, 1)):
+            with pytest.raises(OrderError, match="1 rows"):
+                numbered(rows.unionByName(spark.createDataFrame([twice], rows.schema)), ["a", "b"], check=True)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from seqloom.plans.lineage import shared_dir
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        sc = SimpleNamespace(getCheckpointDir=lambda: None, master=master)
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *a: None)))
+
+
 def test_bad_tables(spark):
     with pytest.raises(SequenceError, match="null"):
         from_table(spark.createDataFrame([(0, 1), (1, None)], "pos long, val long"), ["pos"], "val")
