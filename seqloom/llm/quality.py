@@ -125,3 +125,24 @@ def judge(df: DataFrame, column: str = "text", most_lost: float = MOST_LOST, tex
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *_MEASURES, "base_failed", "kept", "lost_share")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that SQL can express."""
+    return op5_quality_rules(spark, sf_dir).select("doc_id", *_MEASURES, "base_failed")
+
+
+QUALITY_BASE_SQL = r"""
+WITH x AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM x),
+g AS (SELECT row, unnest(range(1, len(words) - 6)) AS i, words FROM w WHERE len(words) > 7),
+k AS (SELECT row, i, array_to_string(words[i : i + 7], ' ') AS key FROM g),
+r AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, key) AS n FROM k) WHERE n > 1),
+c AS (SELECT row, count(DISTINCT i + j) AS n FROM r, (SELECT unnest(range(8)) AS j) GROUP BY row),
+l AS (SELECT row, unnest(string_split(text, chr(10))) AS line FROM x),
+u AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
+m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda v: length(v))), 0) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(u.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN u USING (row) LEFT JOIN c USING (row))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
+"""

@@ -6,8 +6,8 @@ from .ann import op2_nearest_neighbours
 from .bpe import op1_byte_bpe
 from .chat import OP3_SQL, op3_chat_format
 from .mixing import op10_mix_sources
-from .quality import op5_quality_rules
-from .secretscan import op6_secret_scan
+from .quality import QUALITY_BASE_SQL, op5_quality_rules, quality_base
+from .secretscan import SECRETS_BASE_SQL, op6_secret_scan, secrets_base
 from .simhash import op7_simhash_near_dedup
 from .toxicity import op8_toxicity
 from .urlfilter import OP9_SQL, op9_url_filter
@@ -24,6 +24,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_mix_sources": op10_mix_sources,
+    "quality_base": quality_base,
+    "secrets_base": secrets_base,
 }
 
 #: The others are models, digests SQL lacks, or approximate; tests hold them against brute force.
@@ -31,4 +33,6 @@ ORACLE_SQL = {
     "op3_chat_format": OP3_SQL,
     "op4_warc": OP4_SQL,
     "op9_url_filter": OP9_SQL,
+    "quality_base": QUALITY_BASE_SQL,
+    "secrets_base": SECRETS_BASE_SQL,
 }

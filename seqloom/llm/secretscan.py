@@ -413,3 +413,31 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s.kind.isin(*(r.kind for r in BASE)))
     return found.select("doc_id", *(count(r.kind) for r in BASE), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can express."""
+    return op6_secret_scan(spark, sf_dir).drop("spans")
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _base_sql() -> str:
+    names = "|".join(map(_either_case, ("password", "passwd", "secret", "token"))) + "|" + _either_case("api") + "_?" + _either_case("key")
+    kinds = (("assign", f"(?:{names})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 12), ("access", "(AKIA[A-Z0-9]+)", 18), ("hex", "([0-9a-f]+)", 16))
+    spans = " UNION ALL ".join(
+        f"SELECT row, {n} AS kind, '{kind}' AS name, {least} AS least, regexp_extract_all(text, '{p}', 0) AS found, regexp_extract_all(text, '{p}', 1) AS own, regexp_split_to_array(text, '{p}') AS apart FROM x" for n, (kind, p, least) in enumerate(kinds)
+    )
+    counts = ", ".join(f"CAST(count(name) FILTER (WHERE name = '{kind}') AS BIGINT) AS n_{kind}" for kind, _, _ in kinds)
+    return (
+        f"WITH x AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents), s AS ({spans}),"
+        " e AS (SELECT row, kind, name, least, unnest(found) AS found, unnest(own) AS own, unnest(apart[:len(found)]) AS before, unnest(range(len(found))) AS i FROM s WHERE len(found) > 0),"
+        " p AS (SELECT row, kind, name, own, least, sum(length(before) + length(found)) OVER (PARTITION BY row, kind ORDER BY i) AS stop, length(found) AS size FROM e),"
+        " k AS (SELECT row, kind, name, CAST(stop - size AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM p WHERE length(own) >= least)"
+        f" SELECT doc_id, {counts}, sha256(coalesce(string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind), '')) AS base_sha256 FROM x LEFT JOIN k USING (row) GROUP BY row, doc_id"
+    )
+
+
+SECRETS_BASE_SQL = _base_sql()

@@ -11,7 +11,13 @@ and the others verified by their differing bits.
 Equal fingerprints collapse before the index. A posting list reports only a spanning forest of its
 links (at most one edge per fingerprint, never all pairs), and a task turns its forests into stars.
 Lists longer than ``LONG_LIST`` go to keys of five positions, which lose nothing either: a pair shares
-five. Components are joined by rounds of neighbourhood minima on checkpointed edges.
+five. Such a list has at most 2**24 different fingerprints, 128 MB; a long one is searched for every
+difference of three bits in the 24, which is linear in its length. Components are joined by rounds of
+neighbourhood minima on checkpointed edges.
+
+Why sets of positions and not single bytes: the index is still one of positional bytes, and the tally and
+its guaranteed minimum decide which pairs are verified, but a pair is only tallied where the posting key
+already stands for four of its shared bytes.
 
 Edge cases: null or wordless text has fingerprint zero and links like any other; texts shorter than a
 shingle are one shingle; equal rows share a component; an empty table gives an empty result; clashing
@@ -31,6 +37,10 @@ from .common import cut, released, sliced, table
 
 #: Distinct fingerprints under one four-position key beyond which five-position keys take over.
 LONG_LIST = 20_000
+#: Lists of more fingerprints may be looked up by differences instead of compared.
+PROBED_LIST = 8_000
+#: Links that a task holds before it draws them together.
+MOST_LINKS = 500_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -81,9 +91,29 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _probes(fps: np.ndarray, bits: int) -> list[int]:
+    """What a fingerprint of the list can differ by from one it is linked to: up to so many of the bits that vary in the list."""
+    varying = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    ones = [1 << i for i in range(64) if varying >> i & 1]
+    return [sum(x) for k in range(1, bits + 1) for x in combinations(ones, k)]
+
+
 def _list_links(fps: np.ndarray, bits: int, least: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints of one posting list."""
+    """Links that join every component among the sorted distinct fingerprints of one posting list.
+
+    A list longer than there are differences to look for is looked up by these, so that no list costs the
+    square of its length.
+    """
     links, rest = [], fps
+    if len(fps) > PROBED_LIST and len(probes := _probes(fps, bits)) * 4 < len(fps):
+        for d in probes:
+            other = fps ^ np.uint64(d)
+            at = np.minimum(np.searchsorted(fps, other), len(fps) - 1)
+            hit = (fps[at] == other) & (other > fps)
+            links += zip(fps[hit].tolist(), other[hit].tolist())
+            if len(links) > MOST_LINKS:
+                links = _joined(links)
+        return links
     while rest.size > 1:
         wave, rest = [rest[0]], rest[1:]
         while wave and rest.size:
@@ -99,8 +129,8 @@ def _list_links(fps: np.ndarray, bits: int, least: int) -> list[tuple[int, int]]
     return links
 
 
-def _stars(pairs: list[tuple[int, int]]) -> np.ndarray:
-    """The links of one task as (node, smallest node it is joined to here)."""
+def _joined(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The links as (node, smallest node it is joined to by them)."""
     root: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -112,7 +142,7 @@ def _stars(pairs: list[tuple[int, int]]) -> np.ndarray:
         a, b = top(a), top(b)
         if a != b:
             root[max(a, b)] = min(a, b)
-    return np.array([(x, top(x)) for x in root if root[x] != x], dtype=np.int64).reshape(-1, 2)
+    return [(x, top(x)) for x in root if root[x] != x]
 
 
 def _linked(postings: DataFrame, bits: int, least: int) -> DataFrame:
@@ -130,7 +160,9 @@ def _linked(postings: DataFrame, bits: int, least: int) -> DataFrame:
                 left_m, left_f = m[bounds[-2] :], f[bounds[-2] :]
                 bounds = bounds[:-1]
             for at in np.flatnonzero(np.diff(bounds) > 1).tolist():
-                found.extend(_list_links(np.unique(f[bounds[at] : bounds[at + 1]]), bits, least))
+                found.extend((_signed(a), _signed(b)) for a, b in _list_links(np.unique(f[bounds[at] : bounds[at + 1]]), bits, least))
+                if len(found) > MOST_LINKS:  # a star for each component so far
+                    found[:] = _joined(found)
 
         for b in batches:
             m = np.concatenate((left_m, b.column(0).to_numpy().view(np.uint64)))
@@ -138,7 +170,7 @@ def _linked(postings: DataFrame, bits: int, least: int) -> DataFrame:
             left_m, left_f = m[:0], f[:0]
             links(m, f, False)
         links(left_m, left_f, True)
-        stars = _stars([(_signed(a), _signed(b)) for a, b in found])
+        stars = np.array(_joined(found), dtype=np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(stars[:, 0]), pa.array(stars[:, 1])], names=["a", "b"])
 
     dealt = postings.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))

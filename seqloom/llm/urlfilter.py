@@ -21,7 +21,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 BITS_PER_URL = 12
 BLOCK_BITS = 256
@@ -98,6 +98,7 @@ def possible(pages: DataFrame, urls: DataFrame, count: int) -> DataFrame:
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES, listed_canonical: bool = False) -> DataFrame:
     """(page_id, host, path, rule, verdict) of pages (page_id, url), given blocked URLs (column ``url``)."""
     urls = listed.select((F.col("url") if listed_canonical else canonical(F.col("url"))).alias("url")).where("url <> ''").distinct()
+    urls = cut(urls)  # counted, hashed into the filter and joined
     url = F.col("raw")
     rows = pages.select("page_id", F.col("url").alias("raw")).select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.coalesce(canonical(url), F.lit("")).alias("url"))
     rows = possible(rows, urls, urls.count())

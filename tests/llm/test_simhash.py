@@ -98,3 +98,18 @@ def test_frames(spark):
     got = {r["id"]: r["component"] for r in s.near_duplicates(df).collect()}
     assert got == classes({i: fp(t) for i, t in enumerate(texts)})
     assert s.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_long_lists_looked_up_by_differences(monkeypatch):
+    """The same components as by comparing, in a list of one five-byte key with close groups."""
+    rng = np.random.default_rng(8)
+    low = np.unique(rng.integers(0, 1 << 24, 12_000).astype(np.uint64))
+    fps = np.unique(np.concatenate((low, low[:500] ^ np.uint64(5), low[200:300] ^ np.uint64(1 << 23)))) | np.uint64(0xAB << 40)
+
+    def classes(links):
+        return sorted(s._joined([(int(a), int(b)) for a, b in links]))
+
+    compared = classes(s._list_links(fps, 3, 5))
+    monkeypatch.setattr(s, "PROBED_LIST", 10)
+    monkeypatch.setattr(s, "MOST_LINKS", 100)
+    assert classes(s._list_links(fps, 3, 5)) == compared and len(compared) > 500
