@@ -14,8 +14,8 @@ leaves the executors in a step is one residual for each domain. Rows of equal po
 at every step, so a step costs as much as there are distinct posteriors. Rates are cut to the shared folder
 every ``CUT_EVERY`` steps so that expressions stay short.
 
-The classifier sees at most ``MOST_LABELLED`` labelled rows (those of smallest hash) and keeps at
-most ``MOST_FEATURES`` words; every document is scored on its whole text, and totals and rates run
+The classifier sees at most ``most_labelled`` labelled rows (those of smallest hash) and keeps at
+most ``most_features`` words; every document is scored on its whole text, and totals and rates run
 over all documents. Nothing is keyed by source or domain in a shuffle, so hot ones cost nothing.
 
 Edge cases: null or empty text has no tokens, its posterior is that of rows without hits; labelled rows with a null
@@ -107,14 +107,14 @@ def hits(docs: DataFrame, features: dict[str, int], n_domains: int, *keep: str)
     return met.groupBy("row", *keep, "n_tokens").agg(*(level(F.count_if(F.col("speaks") == i), F.col("n_tokens")).alias(f"h{i}") for i in range(n_domains))).drop("row")
 
 
-def fit(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[dict[str, int], dict[tuple[int, ...], list[float]], list[list[list[float]]]]:
+def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], most_labelled: int = MOST_LABELLED, most_features: int = MOST_FEATURES) -> tuple[dict[str, int], dict[tuple[int, ...], list[float]], list[list[list[float]]]]:
     """Feature words with the domain they speak for, posteriors by pattern of levels, and the naive Bayes.
 
     The last holds, for each domain's hits and each domain, the log of the share of its rows at each
     level; the first of them contains the prior.
     """
-    chosen = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", "text")  # at most MOST_LABELLED ids
+    chosen = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", "text")  # at most most_labelled ids
     rows = cut(rows.withColumn("signature", signature(F.col("text"))).dropDuplicates(["signature", "domain"]).select("domain", "text"))  # copies are no new evidence
     stems = F.array_distinct(F.transform("words", lambda w: F.substring(w, 1, STEM)))
     found = _words(rows, "domain").select("domain", F.explode(F.array_append(stems, F.lit(None).cast("string"))).alias("stem"))  # null counts rows
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[dict[
         return F.when(odds >= LEAST_ODDS, 2 * (part(c[i], own) + part(here - c[i], rest))).otherwise(0.0)
 
     speaks = F.array_max(F.array(*(F.struct(g(i).alias("g"), F.lit(i).alias("domain")) for i in range(len(domains)))))
-    top = counts.where("stem is not null and stem <> ''").select("stem", speaks.alias("x")).where(F.col("x.g") >= LEAST_G).orderBy(F.desc("x.g"), "stem").limit(MOST_FEATURES).collect()
+    top = counts.where("stem is not null and stem <> ''").select("stem", speaks.alias("x")).where(F.col("x.g") >= LEAST_G).orderBy(F.desc("x.g"), "stem").limit(most_features).collect()
     features = {r["stem"]: r["x"]["domain"] for r in top}
     keys = [f"h{i}" for i in range(len(domains))]
     cells = hits(rows, features, len(domains), "domain").groupBy(*keys).agg(*(F.count_if(F.col("domain") == d).alias(f"c{i}") for i, d in enumerate(domains))).collect()  # LEVELS ** domains at most

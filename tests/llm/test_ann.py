@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from seqloom.llm import ann
 
@@ -57,3 +58,21 @@ def test_many_copies(spark):
     df = spark.range(400).selectExpr("id as vec_id", "case when id % 2 = 0 then array(1f, 2f, 3f) else array(float(id), 1f, float(id % 7)) end as embedding")
     rows = ann.search(df, lambda key: key % 100 == 0).where("query_id = 200").orderBy("rank").collect()
     assert [r["id"] for r in rows] == list(range(0, 20, 2)) and all(r["score"] == 0 for r in rows)
+
+
+def test_registered_query_against_brute_force(spark):
+    import os
+
+    data = "/root/testdata/sf0.01"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    rows = {r["vec_id"]: np.array(r["embedding"], dtype=float) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect() if r["embedding"] and np.isfinite(np.array(r["embedding"], dtype=float)).all()}
+    found = ann.op2_nearest_neighbours(spark, data).collect()
+    hit = total = 0
+    for q in [i for i in rows if i % 100 == 0]:
+        want = sorted((float(np.sqrt(((v - rows[q]) ** 2).sum())), i) for i, v in rows.items() if i != q)[:10]
+        got = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q)
+        assert [r for r, _, _ in got] == list(range(1, 11))
+        assert all(abs(s - np.sqrt(((rows[i] - rows[q]) ** 2).sum())) < 1e-12 for _, i, s in got)
+        hit, total = hit + len({i for _, i in want} & {i for _, i, _ in got}), total + 10
+    assert hit / total >= 0.9

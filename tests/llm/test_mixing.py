@@ -141,3 +141,27 @@ def test_close_posteriors_reach_their_targets(spark):
 def test_null_posteriors_and_ids(spark):
     rows = spark.createDataFrame([(None, 5, 0.5, 0.5, None), (1, 5, 0.5, 0.5, 0.0)], "doc_id long, n_tokens long, p_a double, p_b double, p_c double")
     assert m.rates(rows, {"a": 0.5, "b": 0.5, "c": 0.0}).count() == 2
+
+
+def test_posteriors_against_a_plain_model(spark):
+    """Hits, levels and the cell or naive Bayes of every document, in Python."""
+    import math
+    import re
+
+    docs, labels = corpus(spark, 150)
+    domains = list(m.TARGETS)
+    features, cells, bayes = m.fit(docs, m.label_domains(labels), domains)
+    rows = {r["doc_id"]: r for r in m.posteriors(docs, domains, features, cells, bayes).collect()}
+    assert features and cells
+    for d in docs.collect():
+        words = [w for w in re.split(r"[\s.,;:?\"()]+", d["text"].lower()) if w]
+        pattern = []
+        for i in range(len(domains)):
+            n = sum(features.get(w[: m.STEM]) == i for w in words)
+            share = n / max(1, len(words))
+            many = n and max(0, min(math.floor(2 * math.log2(share)) + m.SPARSE, m.SPARSE - m.DENSE)) + 3
+            pattern.append(0 if n == 0 else (1 if share < 1 / 32 else 2) if n == 1 else many)
+        drawn = [sum(bayes[i][k][x] for i, x in enumerate(pattern)) for k in range(len(domains))]
+        soft_ = [math.exp(x - max(drawn)) for x in drawn]
+        want = cells.get(tuple(pattern), [x / sum(soft_) for x in soft_])
+        assert [rows[d["doc_id"]][f"p_{k}"] for k in domains] == pytest.approx(want)

@@ -88,3 +88,13 @@ def test_run_returns_exactly_the_documents_that_are_left(spark, folder):
     Before, copies 100-109 and 200-204 and the repeated 59 go to near-dedup; 300-304, 401 and 402 fail quality.
     """
     assert sorted(r["doc_id"] for r in pipe.run(spark, folder).collect()) == [*range(60), 400]
+
+
+def test_long_texts(spark, folder):
+    """A text of 200,000 different words passes every stage whole."""
+    text = "\n".join(" ".join(f"w{i * 10 + k}" for k in range(10)) + "." for i in range(20_000))
+    docs = spark.createDataFrame([(1, text, "en", "s", 1), (2, text, "en", "s", 1), (None, "short.", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in pipe.STAGES[:3]:
+        docs = stage(spark, docs, folder)
+    assert [(r["doc_id"], r["text"]) for r in docs.collect()] == [(1, text)]
+    assert bpe.digests(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).first()["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()

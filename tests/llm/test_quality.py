@@ -63,3 +63,22 @@ def test_a_phrase_in_a_long_line_is_no_boilerplate(spark):
     assert quality.line_fault(" ".join(f"All rights reserved by owner{k}, copyright of holder{k} since year{k}, see terms of use number{k}." for k in range(4))) == "boilerplate"
     rows = quality.judge(spark.createDataFrame([(1, said)], "doc_id long, text string"), text_out="clean").collect()
     assert [(r["kept"], r["clean"]) for r in rows] == [(True, said)]
+
+
+def test_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(1, GOOD), (1, GOOD), (None, GOOD), (None, None)], "doc_id long, text string")
+    rows = quality.judge(df).collect()
+    assert sorted((r["kept"] for r in rows)) == [False, True, True, True] and len({r["n_words"] for r in rows}) == 2
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.sampled_from(["A line that ends.", "no end here", "a | b | c | d.", "THIS!! IS!! LOUD!! VERY!! LOUD!!", "Cookie policy.", "of%%% the&&& in$$$.", "", "  ", "spam " * 12 + "."]), max_size=12))
+def test_verdict_by_lines(lines):
+    """What is kept, from each line judged alone."""
+    text = "\n".join(lines)
+    bad = [x for x in lines if x.strip() and quality.line_fault(x)]
+    size = lambda xs: sum(len("".join(x.split())) for x in xs)
+    clean, lost = quality.cleaned(text)
+    assert clean == "\n".join(x for x in text.split("\n") if not (x.strip() and quality.line_fault(x)))
+    assert lost == (size(bad) / size(lines) if size(lines) else 0.0)
+    assert {quality.line_fault(x) for x in lines if x.strip()} <= {"", "punctuation", "navigation", "decoration", "shouting", "monotony", "boilerplate"}

@@ -1,6 +1,8 @@
 import random
 from zlib import crc32
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seqloom.llm import toxicity as t
@@ -95,3 +97,18 @@ def test_exceptions_are_learned_from_clean_rows_alone(spark):
 def test_clashing_columns(spark):
     d = spark.createDataFrame([(1, "plain words", 3.0, 5), (1, "plain words", 4.0, 6)], "doc_id long, text string, score double, n_words int")
     assert [r["n_words"] for r in t.weighed(d, t.Model({" plain ": 1.0}), keep="doc_id").collect()] == [2, 2]
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.sampled_from(["trash", "trashy", "can", "clown", "fish", "clownfish", "tr4sh", "c1own", "x", "not"]), max_size=30))
+def test_against_a_plain_search(words):
+    """Every entry and exception looked for at every word."""
+    entries, exceptions = {" trash ": 2.0, " tras": 1.0, " clown": 3.0, " clown ": 4.0}, ("trash can", "clown fish", "not trash can")
+    padded = " " + " ".join(t.folded_words(" ".join(words))) + " "
+    spare = [(i, i + len(x) + 1) for x in exceptions for i in range(len(padded)) if padded.startswith(f" {x} ", i)]
+    want, spelled = 0.0, {**{e.replace("i", "l"): w for e, w in entries.items()}, **entries}
+    for i in range(len(padded)):
+        heaviest = max((w for e, w in spelled.items() if padded.startswith(e, i)), default=0.0)
+        if not any(a <= i < b for a, b in spare):
+            want += heaviest
+    assert t.weigh(t.Model(entries, exceptions=exceptions), " ".join(words)) == (want, len(words))

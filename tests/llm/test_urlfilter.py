@@ -48,3 +48,10 @@ def test_filter_has_no_false_negatives(spark, monkeypatch):
 def test_repeated(spark):
     rows = spark.createDataFrame([(1, "http://a.org/x/"), (2, "https://www.a.org/x#1"), (3, "http://a.org/y"), (4, None), (5, "none")], "page_id long, url string")
     assert [r["url"] for r in u.repeated(rows).collect()] == ["a.org/x"]
+
+
+def test_long_urls_and_repeated_pages(spark):
+    long_ = "http://www.example.com/en/" + "x/" * 100_000 + "?" + "&".join(f"k{i}=v" for i in range(5000))
+    rows = spark.createDataFrame([(1, long_), (1, long_), (None, "http://net/es/"), (2, "http://EXAMPLE.com/en/" + "y" * 300_000)], "page_id long, url string")
+    got = sorted(((r["page_id"], len(r["path"]), r["rule"], r["verdict"]) for r in u.judge(rows, u.repeated(rows), listed_canonical=True).collect()), key=str)
+    assert got == sorted([(1, 200_004, "www.example.com/en/", "allow")] * 2 + [(None, 4, "net/es/", "block"), (2, 300_004, "example.com/en/", "block")], key=str)
