@@ -40,3 +40,10 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing reads any more, wherever Spark can write."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stamp(spark: SparkSession, path: str) -> int:
+    """A number that changes when something directly in a folder does: a hash of names, times and lengths."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return hash(tuple(sorted((x.getPath().getName(), x.getModificationTime(), x.getLen()) for x in files)))

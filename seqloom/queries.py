@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions.draws import PRIME, draw_sql
 from .operators import bwt, ngram, runs, search, stats, suffix
 from .plans import index
-from .plans.lineage import cut, shared_dir
+from .plans.lineage import cut, shared_dir, stamp
 from .plans.order import numbered
 from .plans.sequence import Sequence, from_table, pattern_ids, separated
 from .sources.intseq import WIDTHS, read_ints, read_patterns, save_ints, write_counts
@@ -37,8 +37,8 @@ def forget() -> None:
 
 
 def _once(name: str, spark: SparkSession, sf_dir: str, make):
-    """Tables that several queries share are built once for each session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """Tables that several queries share are built once for each session, folder and state of its files."""
+    key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir), name)
     if key not in _made:
         _made[key] = make()
     return _made[key]

@@ -153,3 +153,13 @@ def test_bad_tables(spark):
     assert (empty.n, empty.sigma, b.kinds) == (0, 0, 1)
     for how in (True, False):
         assert [r["n_occ"] for r in index.search.count(b.index, patterns, how).orderBy("pid").collect()] == [0, 0]
+
+
+def test_stamp_follows_the_files(spark, tmp_path):
+    from seqloom.plans.lineage import stamp
+
+    (tmp_path / "a").write_text("x")
+    first = stamp(spark, str(tmp_path))
+    assert first == stamp(spark, str(tmp_path))
+    (tmp_path / "a").write_text("xy")
+    assert first != stamp(spark, str(tmp_path))
