@@ -266,20 +266,18 @@ EVERY = 211
 
 
 def _agree(sp, d, lengths=range(1, 9)):
-    """(m, p, brute, order1, plain, joined): patterns from the sequence, each third with its last symbol replaced."""
+    """(m, p, brute, order1, plain): patterns from the sequence, each third with its last symbol replaced."""
     made, plain = _built("ev", sp, d), _plain("ev", sp, d)[0]
-    s, out = made.sequence, None
+    s, own = made.sequence, None
+    last = F.when(F.expr(f"k div {EVERY} % 3 = 0"), F.element_at("p", -1) % s.sigma + 1).otherwise(F.element_at("p", -1))
     for m in lengths:
-        rows = ngram.ngrams(s, m).where(F.col("k") % EVERY == 0)
-        last = F.when(F.expr(f"k div {EVERY} % 3 = 0"), F.element_at("p", -1) % s.sigma + 1).otherwise(F.element_at("p", -1))
-        own = rows.select(F.concat(F.slice("p", 1, m - 1), F.array(last)).alias("p")).distinct().select(F.array_join("p", "-").alias("pid"), "p")
-        own = cut(own)
-        found = ngram.brute_force(s, own).withColumnRenamed("n_occ", "brute")
-        for name, x, how in (("order1", made.index, True), ("plain", plain, True), ("joined", made.index, False)):
-            found = found.join(search.count(x, own, how).withColumnRenamed("n_occ", name), "pid")
-        found = found.select(F.lit(m).alias("m"), F.col("pid").alias("p"), "brute", "order1", "plain", "joined")
-        out = found if out is None else out.unionByName(found)
-    return out
+        rows = ngram.ngrams(s, m).where(F.col("k") % EVERY == 0).select(F.concat(F.slice("p", 1, m - 1), F.array(last)).alias("p")).distinct()
+        own = rows if own is None else own.unionByName(rows)
+    own = cut(own.select(F.array_join("p", "-").alias("pid"), "p"))
+    found = own.select("pid", F.size("p").alias("m")).join(ngram.brute_force(s, own).withColumnRenamed("n_occ", "brute"), "pid")
+    for name, x in (("order1", made.index), ("plain", plain)):
+        found = found.join(search.count(x, own, True).withColumnRenamed("n_occ", name), "pid")
+    return found.select("m", F.col("pid").alias("p"), "brute", "order1", "plain")
 
 
 def _agree_sql(lengths) -> str:
@@ -289,7 +287,7 @@ def _agree_sql(lengths) -> str:
         every.append(f"w{m} AS (SELECT k, {names} FROM t), g{m} AS (SELECT concat_ws('-', {', '.join(f'x{j}' for j in range(m))}) AS p, count(*) AS n FROM w{m} WHERE x{m - 1} IS NOT NULL GROUP BY 1)")
         head = "".join(f"x{j} || '-' || " for j in range(m - 1))
         own = f"SELECT DISTINCT {head}CASE WHEN k // {EVERY} % 3 = 0 THEN x{m - 1} % (SELECT count(*) FROM d) + 1 ELSE x{m - 1} END AS p FROM w{m} WHERE k % {EVERY} = 0 AND x{m - 1} IS NOT NULL"
-        parts.append(f"SELECT {m} AS m, CAST(o.p AS VARCHAR) AS p, coalesce(n, 0) AS brute, coalesce(n, 0) AS order1, coalesce(n, 0) AS plain, coalesce(n, 0) AS joined FROM ({own}) o LEFT JOIN g{m} ON CAST(o.p AS VARCHAR) = g{m}.p")
+        parts.append(f"SELECT {m} AS m, CAST(o.p AS VARCHAR) AS p, coalesce(n, 0) AS brute, coalesce(n, 0) AS order1, coalesce(n, 0) AS plain FROM ({own}) o LEFT JOIN g{m} ON CAST(o.p AS VARCHAR) = g{m}.p")
     return _sql("ev", *every, " UNION ALL ".join(parts))
 
 
