@@ -1,16 +1,20 @@
-"""Near duplicates by word shingles: the index of ``simhash`` for a similarity instead of differing bits.
+"""Near duplicates by word shingles: SimHash and its index, and links up to a similarity that SimHash leaves.
 
-Texts whose five-word shingles have a Jaccard similarity of 0.8 or more differ in 4 to 11 of a SimHash's
-64 bits, so no number of its bytes is sure to be shared; links of that kind need another fingerprint in the
-same positional index. A text is the set of its shingles' 64-bit hashes, and texts of equal sets collapse
-first. The fingerprint of a set has a byte for each of ``POSITIONS * MINIMA`` hash functions, of the set's
+A text is the set of its shingles' 64-bit hashes, and texts of equal sets collapse first. The SimHash of a
+set goes through the index of ``simhash`` (byte positions, tally of shared bytes with its guaranteed minimum,
+at most ``BITS`` differing bits), and what that links is verified exactly, on the sets themselves.
+
+Most texts whose five-word shingles have a Jaccard similarity of 0.8 or more differ in 4 to 11 of the 64 bits,
+where no number of bytes is sure to be shared; the links still missing between joined sets need another
+fingerprint in the same kind of index, and only lists that SimHash has left apart are looked at. That
+fingerprint of a set has a byte for each of ``POSITIONS * MINIMA`` hash functions, of the set's
 minimum under it; two sets agree in a byte with a chance of their similarity. The index posts under
 ``POSITIONS`` groups of ``MINIMA`` positions each. The shared positional bytes of a pair that meets are
 tallied, pairs below the minimum (79 of 128 for 0.8) are dropped, and the others verified on the sets
 themselves, exactly. A pair of similarity 0.8 meets nowhere with a chance of 5e-8 and falls below the
 minimum with one of 3e-7, more similar pairs far less often: the only ways to miss a link.
 
-Groups of copies cost their size. First every set of a posting list meets only the list's most central one,
+Groups of copies cost their size. First every set of a posting list that is not joined yet meets only the list's most central one,
 whose entries are shared by most sets: of copies of one text, that text or the copy closest to it. Then
 lists of which not all sets are joined yet are taken again: every pair in one of at most ``SHORT_LIST``,
 further central sets in a longer one. At last the long lists that are still not joined are dealt to tasks
@@ -33,10 +37,13 @@ from pyspark.sql.window import Window
 
 from ..plans.sequence import bounded
 from .common import cut, released, sliced, text_of
-from .simhash import _LOWER, components
+from .simhash import _LOWER, _signed, components, majority
+from .simhash import links as simhash_links
 
 WIDTH = 5
 LEAST = 0.8
+#: Bits of their SimHashes that sets linked by it differ in at most.
+BITS = 3
 POSITIONS = 32
 MINIMA = 4
 SHORT_LIST = 32
@@ -97,7 +104,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, node, n, entries, marks) of (doc_id, digest, text): node stands for the set, n is its size."""
+    """(doc_id, digest, node, fp, n, entries, marks) of (doc_id, digest, text): node stands for the set, n is its size."""
 
     def run(batches):
         import xxhash
@@ -105,13 +112,14 @@ def _sets(docs: DataFrame) -> DataFrame:
         for b in sliced(batches, 2):
             sets = [shingles(t) for t in b.column(2).to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            fps = [_signed(majority([x])) for x in sets]
             found = [fingerprint(x) for x in sets]
             flat = np.concatenate([x for x, _ in found]) if sets else np.zeros(0, np.int64)
             ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * POSITIONS)
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(node), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array([x for _, x in found], pa.binary())], names=["doc_id", "digest", "node", "n", "entries", "marks"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(node), pa.array(fps, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array([x for _, x in found], pa.binary())], names=["doc_id", "digest", "node", "fp", "n", "entries", "marks"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "digest", "text").mapInArrow(released(run), f"doc_id {kind}, digest binary, node long, n long, entries array<long>, marks binary")
+    return docs.select("doc_id", "digest", "text").mapInArrow(released(run), f"doc_id {kind}, digest binary, node long, fp long, n long, entries array<long>, marks binary")
 
 
 def _marks(column: pa.Array) -> np.ndarray:
@@ -221,13 +229,17 @@ def _apart(lists: DataFrame, nodes: DataFrame, docs: DataFrame, least: float) ->
     return cut(dealt.mapInArrow(released(run), "a long, b long"))
 
 
+def close(nodes: DataFrame, bits: int = BITS) -> DataFrame:
+    """(a, b): sets that SimHash links, by its index of byte positions; of sets of one fingerprint, each with the smallest."""
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    near = simhash_links(first.select("fp"), bits).toDF("a", "b")
+    across = near.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select("x", "y")
+    return cut(_ordered(across.unionByName(nodes.join(first, "fp").select(F.col("node").alias("x"), F.col("first").alias("y")))))
+
+
 def links(nodes: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(a, b): enough links between similar sets to join every component."""
-    post = nodes.select("node", F.explode("entries").alias("key"))
-    lists = cut(post.join(post.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"))
-    central = lists.groupBy("node").agg(F.struct(F.sum("size"), "node").alias("central"))
-    lists = cut(lists.join(central, "node"))
-    tried = cut(_ordered(lists.join(lists.groupBy("key").agg(F.max("central")["node"].alias("y")), "key").select(F.col("node").alias("x"), "y")))
+    tried = close(nodes)
     found = _verified(tried, nodes, docs, least)
 
     def rooted(rows):
@@ -236,6 +248,13 @@ def links(nodes: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
     def fresh(pairs):
         return cut(_ordered(pairs).join(tried, ["a", "b"], "left_anti"))
 
+    post = nodes.select("node", F.explode("entries").alias("key"))
+    lists = post.join(post.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
+    lists = cut(_torn(cut(rooted(lists))).drop("root"))
+    central = lists.groupBy("node").agg(F.struct(F.sum("size"), "node").alias("central"))
+    lists = cut(lists.join(central, "node"))
+    more = fresh(lists.join(lists.groupBy("key").agg(F.max("central")["node"].alias("y")), "key").select(F.col("node").alias("x"), "y"))
+    tried, found = tried.unionByName(more), cut(found.unionByName(_verified(more, nodes, docs, least)))
     open_ = cut(_torn(rooted(lists)))
     long_ = open_.where(F.col("size") > SHORT_LIST)
     first = Window.partitionBy("key").orderBy(F.desc("central"))
@@ -262,7 +281,7 @@ def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     Of each component the rows of the smallest id stay, nulls last; among texts of that id one digest.
     """
     sets = cut(_sets(docs))
-    nodes = cut(sets.select("node", "n", "digest", "entries", "marks").dropDuplicates(["node"]))
+    nodes = cut(sets.select("node", "fp", "n", "digest", "entries", "marks").dropDuplicates(["node"]))
     roots = cut(components(links(nodes, docs, least)))
     rows = sets.select("doc_id", "digest", "node").join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")

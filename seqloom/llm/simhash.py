@@ -44,6 +44,15 @@ MOST_LINKS = 500_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def majority(hashes) -> int:
+    """SimHash of arrays of 64-bit hashes; a bit is set if over half of them have it."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for h in hashes:
+        counts += np.unpackbits(h.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """SimHash of a text's word shingles; a bit is set if over half of the shingle hashes have it."""
     import xxhash
@@ -59,11 +68,8 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     hashed = xxhash.xxh64_intdigest
-    counts = np.zeros(64, dtype=np.int64)
-    for a in range(0, len(starts), 65_536):
-        h = np.array([hashed(joined[s:e], seed) for s, e in zip(starts[a : a + 65_536].tolist(), ends[a : a + 65_536].tolist())], dtype="<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(starts), bitorder="little").tobytes(), "little")
+    parts = (range(a, min(a + 65_536, len(starts))) for a in range(0, len(starts), 65_536))
+    return majority(np.array([hashed(joined[s:e], seed) for s, e in zip(starts[p.start : p.stop].tolist(), ends[p.start : p.stop].tolist())], dtype="<u8") for p in parts)
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", column: str = "text", width: int = 3, seed: int = 42) -> DataFrame:

@@ -66,3 +66,30 @@ def test_rows_of_one_id_and_of_none(spark):
     rows = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r["doc_id"], r["text"]) for r in pipe.near_dedup(spark, rows, "").collect()]
     assert sorted(got, key=str) == sorted([(1, a), (2, b), (4, c), (None, "x " * 30 + "end"), (5, None)], key=str)
+
+
+def test_simhash_goes_first_and_is_verified(spark, monkeypatch):
+    """Sets within three bits are joined by the index of byte positions; only similar ones of those are links."""
+    docs = corpus()
+    rows = spark.createDataFrame([(i, t) for i, t in docs], "doc_id long, text string").select("*", j.digest().alias("digest"))
+    nodes = j._sets(rows).dropDuplicates(["node"]).cache()
+    fps, joined = {r["node"]: r["fp"] & (1 << 64) - 1 for r in nodes.collect()}, []
+    pairs = [(r["a"], r["b"]) for r in j.close(nodes).collect()]
+    root = {x: x for x in fps}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[top(a)] = top(b)
+    near = [(a, b) for a, b in combinations(sorted(fps), 2) if (fps[a] ^ fps[b]).bit_count() <= 3]
+    assert len(near) > 10 and all(top(a) == top(b) for a, b in near)
+    verified = j._verified
+    monkeypatch.setattr(j, "_verified", lambda tried, *a: joined.append(sorted((r["a"], r["b"]) for r in tried.collect())) or verified(tried, *a))
+    texts = dict(docs)
+    sets = {r["node"]: set(j.shingles(texts[r["doc_id"]]).tolist()) for r in nodes.collect()}
+    for r in j.links(nodes, rows).collect():
+        assert 5 * len(sets[r["a"]] & sets[r["b"]]) >= 4 * len(sets[r["a"]] | sets[r["b"]])
+    assert joined[0] == sorted(pairs)
