@@ -73,7 +73,7 @@ def _suffixes(name: str, spark: SparkSession, sf_dir: str) -> suffix.Suffixes:
 
 
 def _generalized(name: str, spark: SparkSession, sf_dir: str):
-    return _once(f"gsa {name}", spark, sf_dir, lambda: suffix.generalized(_sequence(name, spark, sf_dir)))
+    return _once(f"gsa {name}", spark, sf_dir, lambda: suffix.generalized(_sequence(name, spark, sf_dir), lcps=name != "docs"))
 
 
 def _grams(name: str, m: int, spark: SparkSession, sf_dir: str) -> DataFrame:

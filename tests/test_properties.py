@@ -173,3 +173,12 @@ def test_a_task_that_gathers_the_index_agrees(spark, monkeypatch):
     for x, empty in ((b.index, len(t)), (plain, len(t) + 1)):
         got, jobs = started(spark, lambda: {r["pid"]: r["n_occ"] for r in search.count(x, rows).collect()})
         assert got == {f"x{j}": naive.count(t, p) if p else empty for j, p in enumerate(patterns)} and jobs < 30
+
+
+def test_rounds_without_lcps_keep_no_ranks(spark):
+    t = CASES["fibonacci"]
+    df = spark.createDataFrame(list(enumerate(t)), "k long, id long")
+    x = suffix.suffix_array(df, len(t), local=0, lcps=False)
+    assert not x.levels and [r["k"] for r in x.sa.orderBy("r").collect()] == naive.suffix_array(t)
+    with pytest.raises(ValueError, match="let go"):
+        suffix.lcp(x)
