@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.draws import PRIME, draw_sql
-from .operators import bwt, ngram, runs, search, stats, suffix
+from .operators import bwt, ngram, packed, runs, search, stats, suffix
 from .plans import index
 from .plans.lineage import cut, shared_dir, stamp
 from .plans.order import numbered
@@ -167,7 +167,22 @@ def _placed(name, sp, d):
 _GSA = "m AS (SELECT grp, k, row_number() OVER (PARTITION BY grp ORDER BY k) - 1 AS pos, list(id) OVER (PARTITION BY grp ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l FROM t), e AS (SELECT grp, pos, l FROM m UNION ALL SELECT grp, count(*), [] FROM t GROUP BY grp), gs AS (SELECT row_number() OVER (ORDER BY l, grp) - 1 AS r, grp, pos, l FROM e)"
 _add("gsa_usr", lambda sp, d: _placed("usr", sp, d), _sql("usr", _GSA, "SELECT r, grp, pos FROM gs"))
 _add("glcp_usr", lambda sp, d: suffix.lcp(_generalized("usr", sp, d)[0]).select("r", "lcp"), _sql("usr", _GSA, "n AS (SELECT r, l AS a, lag(l) OVER (ORDER BY r) AS b FROM gs)", f"SELECT r, CASE WHEN b IS NULL THEN 0 ELSE {_LCP} END AS lcp FROM n"))
-_add("gsa_docs", lambda sp, d: _placed("docs", sp, d))
+
+
+def _documents(sp, d) -> DataFrame:
+    return sp.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+
+
+def _gsa_docs(sp, d):
+    """The same of the words of documents, on packed arrays unless too many suffixes begin alike for a task."""
+    docs = _documents(sp, d)
+    try:
+        return packed.array(packed.documents(docs), sp, docs.schema["doc_id"].dataType)
+    except packed.TooLarge:
+        return _placed("docs", sp, d)
+
+
+_add("gsa_docs", _gsa_docs)
 
 
 def _rounds(name: str, spark: SparkSession, sf_dir: str) -> suffix.Suffixes:
