@@ -207,11 +207,7 @@ _add("glcp_rounds_usr", lambda sp, d: suffix.lcp(_rounds("usr", sp, d)).select("
 
 def _heads(sp, d):
     """For each pair of words: how many suffixes of documents begin with it, and the first and last of their ranks."""
-    s, x = _sequence("docs", sp, d), _generalized("docs", sp, d)[0]
-    pairs = stats.pairs(s).join(s.seq.select("k", "grp"), "k")
-    first, n_groups = numbered(s.seq.groupBy("grp").agg(F.min("k").alias("first")), ["grp"], "g")
-    placed = pairs.join(first.select("grp", "g"), "grp").select((F.col("k") + F.col("g")).alias("k"), "a", "b")
-    return x.sa.join(placed, "k").where("b is not null").groupBy("a", "b").agg(F.count("*").alias("cnt"), F.min("r").alias("low"), F.max("r").alias("high"))
+    return packed.heads(packed.documents(_documents(sp, d)), sp)
 
 
 _add(

@@ -53,7 +53,7 @@ def test_ids_are_unique_and_nothing_is_an_empty_array(spark):
     assert not packed.array(packed.documents(spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")), spark).count()
 
 
-@pytest.mark.parametrize("name", ["gsa_docs"])
+@pytest.mark.parametrize("name", ["gsa_docs", "gsa_docs_heads"])
 def test_a_suffix_takes_few_bytes_of_disk(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(suffix, "LOCAL_SYMBOLS", 0)
     draw = random.Random(1)
